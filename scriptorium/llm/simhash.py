@@ -20,7 +20,7 @@ from ._util import materialize
 #: Fixed by the definition of the fingerprint.
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
 #: Fingerprints aimed at in a shard, and drawn to place the vantage points.
-SHARD_SIZE, SAMPLE = 6000, 20000
+SHARD_SIZE, SAMPLE = 32_768, 20_000
 
 
 def _lanes() -> np.ndarray:
