@@ -8,16 +8,19 @@ which white space touches white space are encoded whole, without the cache.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 from ._util import worker_state
 
 #: White space next to white space, by Python's wider class: there, cuts are not sure.
 _TOUCHING = re.compile(r"\s\s")
-CACHE_UNITS = 400_000
+#: ASCII marks that end a word; a run of them is one piece of the pattern.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+CACHE_UNITS = 1_000_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -31,7 +34,7 @@ def vocabulary_path(name_or_path: str) -> str:
 
 
 class UnitCache:
-    """Encodes batches of texts; ``encode_units(list of str) -> list of values``.
+    """Encodes batches of texts; ``encode_units(list of str, prefix) -> list of values``.
 
     ``join(parts)`` puts the values of consecutive units together and
     ``whole(text)`` encodes a text that can't be cut.  Memory is bounded by
@@ -45,15 +48,26 @@ class UnitCache:
         self.newline = encode_units(["\n"])[0]
 
     def _fill(self, cache: dict, units: set, prefix: str) -> None:
-        missing = [u for u in units if u not in cache]
+        missing = list(units.difference(cache))
         if len(cache) + len(missing) > self.limit:
             cache.clear()
             missing = list(units)
         for lo in range(0, len(missing), 4096):
             some = missing[lo : lo + 4096]
-            cache.update(zip(some, self.encode_units([prefix + u for u in some])))
+            cache.update(zip(some, self.encode_units(some, prefix)))
 
     def encode(self, texts: list[str | None]) -> list:
+        """Values of the texts, null as empty.  The many small lists made here hold
+        no cycles, so the collector of cycles rests meanwhile."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list:
         cut: list = []
         first, rest = set(), set()
         for text in texts:
@@ -87,8 +101,70 @@ class UnitCache:
         return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others
+    for the code points from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def _unit_encoder(tok):
+    """encode_units for a byte-level tokenizer.
+
+    A unit that is one word of Latin letters, with marks after it, is two pieces
+    of the pattern: both go straight to the library's merge model, and marks are
+    remembered.  Any other unit takes the library's whole path.
+    """
+    model, letters = tok.model, _byte_letters()
+    tails: dict[str, bytes] = {"": b""}
+
+    def packed(ids) -> bytes:
+        a = array("I", ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a.tobytes()
+
+    def latin(text: str) -> bool:
+        try:
+            return bool(text.encode("latin-1"))
+        except UnicodeEncodeError:
+            return False
+
+    def piece(text: str) -> bytes:
+        if text not in tails:
+            if len(tails) > 10_000:
+                tails.clear()
+                tails[""] = b""
+            tails[text] = packed(tok.encode(text, add_special_tokens=False).ids)
+        return tails[text]
+
+    tokenize, space = model.tokenize, letters[32]
+
+    def encode_units(units, prefix=""):
+        out, rest = [], []
+        lead = space if prefix == " " else ""
+        for u in units:
+            bare = u if u.isalpha() else u.rstrip(_MARKS)
+            if bare.isascii() and bare.isalpha():
+                found = packed([t.id for t in tokenize(lead + bare)])
+            elif bare.isalpha() and latin(bare):
+                found = packed([t.id for t in tokenize(lead + bare.encode().decode("latin-1").translate(letters))])
+            else:
+                rest.append((len(out), prefix + u))
+                out.append(b"")
+                continue
+            out.append(found if bare is u else found + piece(u[len(bare) :]))
+        if rest:
+            for (k, _), e in zip(rest, tok.encode_batch_fast([u for _, u in rest], add_special_tokens=False)):
+                out[k] = packed(e.ids)
+        return out
+
+    return encode_units
+
+
 def public_encoder(vocabulary: str = VOCABULARY) -> UnitCache:
-    """The worker's encoder for a ``tokenizers`` file: text to uint32 ids as bytes."""
+    """The worker's encoder for a byte-level ``tokenizers`` file: text to u32 ids."""
     state = worker_state()
     path = vocabulary_path(vocabulary)
     if ("encoder", path) not in state:
@@ -97,11 +173,7 @@ def public_encoder(vocabulary: str = VOCABULARY) -> UnitCache:
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True  # their strings in a text are ordinary text
-
-        def encode_units(units):
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
-
-        state["encoder", path] = UnitCache(encode_units, b"".join)
+        state["encoder", path] = UnitCache(_unit_encoder(tok), b"".join)
     return state["encoder", path]
 
 

@@ -189,9 +189,9 @@ class RankBPE:
                 out[k] = ids.astype("<u4").tobytes()
         return out
 
-    def encode_units(self, units: list[str], limit: int = 400_000) -> list[bytes]:
-        """Ids of each text, each match of the pattern separately."""
-        split = [self.pattern.findall(u) for u in units]
+    def encode_units(self, units: list[str], prefix: str = "", limit: int = 400_000) -> list[bytes]:
+        """Ids of each text behind ``prefix``, each match of the pattern separately."""
+        split = [self.pattern.findall(prefix + u) for u in units]
         new = {p for s in split for p in s}.difference(self.cache)
         if len(self.cache) + len(new) > limit:
             self.cache.clear()
