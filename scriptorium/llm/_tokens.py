@@ -165,7 +165,7 @@ def _unit_encoder(tok):
 
 def public_encoder(vocabulary: str = VOCABULARY) -> UnitCache:
     """The worker's encoder for a byte-level ``tokenizers`` file: text to u32 ids."""
-    state = worker_state()
+    state = worker_state("tokens")
     path = vocabulary_path(vocabulary)
     if ("encoder", path) not in state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

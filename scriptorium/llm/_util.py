@@ -70,9 +70,17 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS), lambda w: w != F.lit(""))
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python worker, across its tasks."""
+def worker_state(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker, across its tasks.
+
+    A worker keeps the state of one owner at a time, so the caches of one
+    operator don't burden the next one that the worker runs.
+    """
     name = "_scriptorium_worker_state"
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
-    return sys.modules[name].__dict__
+    held = sys.modules[name].__dict__
+    if held.get("owner") != owner:
+        held.pop("state", None)
+        held["owner"] = owner
+    return held.setdefault("state", {})

@@ -210,7 +210,7 @@ class RankBPE:
 
 def rank_encoder(vocabulary: str = VOCABULARY, pattern: str | None = None) -> tuple[RankBPE, UnitCache]:
     """The worker's encoder for a rank file."""
-    state = worker_state()
+    state = worker_state("bpe")
     path = vocabulary_path(vocabulary)
     if pattern is None:
         import public_tokenizers

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import worker_state
+
 #: Hash buckets of each n-gram order.
 BUCKETS = 1 << 15
 #: Bound of the labelled sample, in documents.
@@ -182,6 +184,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: buckets x bits
 
     def run(batches):
+        worker_state("language")
         model = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
@@ -202,6 +205,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
+        worker_state("language")
         model = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):

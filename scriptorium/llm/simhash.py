@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._util import materialize
+from ._util import materialize, worker_state
 
 #: Fixed by the definition of the fingerprint.
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
@@ -54,6 +54,7 @@ def fingerprint_of(text: str | None, lanes: np.ndarray) -> int:
 
 
 def _fingerprint_batches(batches):
+    worker_state("simhash")
     lanes = _lanes()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)

@@ -3,8 +3,8 @@
 The writer puts each record in a gzip member of its own.  The reader checks
 every record (member checksum, version line, Content-Length, block digest).
 After a failed check it searches for the next member that opens to a version
-line (or, in plain archives, for the next version line at a line start),
-continues there, and logs the bytes in between as a quarantined gap.
+line (or, in plain archives, for the next version line that begins a valid
+record), continues there, and logs the bytes in between as a quarantined gap.
 """
 
 from __future__ import annotations
@@ -113,6 +113,14 @@ class Salvage:
         except zlib.error:
             return False
 
+    def _reads(self, offset: int, size: int) -> bool:
+        """Whether the version line at ``offset`` begins a whole, valid record."""
+        try:
+            self._plain(offset, size)
+        except ValueError:
+            return False
+        return True
+
     def _next(self, offset: int, size: int) -> int:
         """The next offset at which a valid member or version line begins."""
         at = offset
@@ -127,7 +135,7 @@ class Salvage:
                 if piece.startswith(MEMBER, k):
                     if self._opens(at + k):
                         return at + k
-                elif at + k == 0 or self._at(at + k - 1, 1) == b"\n":
+                elif self._reads(at + k, size):
                     return at + k
                 k += 1
             at += CHUNK
