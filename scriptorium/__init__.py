@@ -1 +1,11 @@
-"""Spark-native analysis and transformation of collections of manuscripts."""
+"""Spark-native analysis and transformation of collections of manuscripts.
+
+Functions that run in Python workers are pickled by value, so executors need no
+copy of the repository on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -13,14 +13,12 @@ SYMBOLS = r"[γ√Σ∫]"
 
 
 def is_title_noise(line: Column) -> Column:
-    s = strip(line)
-    return (
-        (s == "")
+    return let(
+        strip(line),
+        lambda s: (s == "")
         | contains_any(F.lower(s), K.TITLE_NOISE)
         | s.rlike(K.CONFERENCE_BANNER)
-        | s.rlike(r"^\d{3,4}$")
-        | s.rlike(r"(?i)^(?:19|20)\d{2}\s+IEEE")
-        | s.rlike(r"^978[-\d]+\s*©?\s*\d{4}\s+IEEE")
+        | s.rlike(r"^\d{3,4}$|^(?i:(?:19|20)\d{2}\s+IEEE)|^978[-\d]+\s*©?\s*\d{4}\s+IEEE"),
     )
 
 
@@ -51,12 +49,14 @@ def is_comma_location(line: Column) -> Column:
 
 def is_location(line: Column) -> Column:
     """A place.  Any line of a single word counts as one."""
-    s = strip(line)
-    plain = F.filter(F.transform(words(s), lambda w: _letters(w)), lambda w: w != "")
-    return F.when(s == "", F.lit(False)).otherwise(
-        is_comma_location(s)
-        | F.lower(s).isin(K.REGIONS)
-        | let(plain, lambda p: (F.size(p) == 1) | ((F.size(p) > 0) & F.forall(p, lambda w: w.isin(K.PLACES))))
+    plain = lambda s: F.filter(F.transform(words(s), lambda w: _letters(w)), lambda w: w != "")
+    return let(
+        strip(line),
+        lambda s: F.when(s == "", F.lit(False)).otherwise(
+            F.lower(s).isin(K.REGIONS)
+            | let(plain(s), lambda p: (F.size(p) == 1) | ((F.size(p) > 0) & F.forall(p, lambda w: w.isin(K.PLACES))))
+            | is_comma_location(s)
+        ),
     )
 
 
@@ -66,28 +66,31 @@ def is_name_token(token: Column) -> Column:
 
 def is_authors(line: Column) -> Column:
     """One capitalised name of two to five words, or several separated by commas or "and"."""
-    s = strip(line)
-    name = lambda c: n_words(c).between(2, 5) & F.forall(words(c), is_name_token)
-    parts = split_list(s, r",|\band\b")
-    listed = let(
-        parts,
-        lambda ps: (F.size(ps) >= 2) & F.forall(ps, lambda p: ~is_location(p) & ~is_affiliation(p) & name(p)),
+    name = lambda c: let(words(c), lambda w: F.size(w).between(2, 5) & F.forall(w, is_name_token))
+    listed = lambda s: let(
+        split_list(s, r",|\band\b"),
+        lambda ps: (F.size(ps) >= 2) & F.forall(ps, lambda p: name(p) & ~is_affiliation(p) & ~is_location(p)),
+    )
+    return let(
+        strip(line),
+        lambda s: F.when((s == "") | (F.length(s) > 200) | s.rlike(r"[@\d]") | is_affiliation(s), False)
+        .when(name(s) | listed(s), ~is_location(s))
+        .otherwise(False),
     )
-    return F.when((s == "") | (F.length(s) > 200) | s.rlike(r"[@\d]") | is_affiliation(s) | is_location(s), False).otherwise(name(s) | listed)
 
 
-def _lowercase_words(line: Column) -> Column:
-    return F.size(F.filter(words(line), lambda w: w.rlike(r"\p{Ll}")))
+def _prose(line: Column, least: int, low: int, share: int) -> Column:
+    """At least ``least`` words, of which ``low`` and one in ``share`` have a small letter."""
+    small = lambda w: F.size(F.filter(w, lambda x: x.rlike(r"\p{Ll}")))
+    return let(words(line), lambda w: (F.size(w) >= least) & (small(w) >= F.greatest(F.lit(low), F.floor(F.size(w) / share))))
 
 
 def is_body_paragraph(line: Column) -> Column:
-    n = n_words(line)
-    return (n >= 10) & (_lowercase_words(line) >= F.greatest(F.lit(4), F.floor(n / 2)))
+    return _prose(line, 10, 4, 2)
 
 
 def is_body_line(line: Column) -> Column:
-    n = n_words(line)
-    return (n >= 6) & (_lowercase_words(line) >= F.greatest(F.lit(3), F.floor(n / 3)))
+    return _prose(line, 6, 3, 3)
 
 
 def is_table_data(line: Column) -> Column:

@@ -79,12 +79,9 @@ def clean(c: Column, mode: str = "safe") -> Column:
 
 def document_type(c: Column) -> Column:
     """Struct of kind and scores by cues in the first 20000 characters."""
-    low = F.lower(F.substring(text(c), 1, 20000))
-    scores = F.struct(
-        *[count_present(low, cues).alias(n) for n, cues in (("thesis", K.THESIS_CUES), ("paper", K.PAPER_CUES), ("ieee", K.IEEE_CUES), ("acm", K.ACM_CUES))]
-    )
+    kinds = (("thesis", K.THESIS_CUES), ("paper", K.PAPER_CUES), ("ieee", K.IEEE_CUES), ("acm", K.ACM_CUES))
     return let(
-        scores,
+        let(F.lower(F.substring(text(c), 1, 20000)), lambda low: F.struct(*[count_present(low, cues).alias(n) for n, cues in kinds])),
         lambda s: F.struct(
             F.when(s["thesis"] >= 3, "thesis_dissertation")
             .when(s["ieee"] >= 1, "ieee_paper")
@@ -138,27 +135,21 @@ def title_of(c: Column) -> Column:
     head = lambda x: n_words(x).between(3, 25) & (F.length(x) <= 200)
     stop = lambda x: x.rlike(K.FRONTMATTER_END) | F.contains(x, F.lit("@")) | x.rlike(r"(?i)\bdoi\b")
 
+    first_at = lambda a, test: F.get(F.filter(F.transform(a, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull()), 0)
+    judged = lambda x: let(
+        P.is_title_noise(x), lambda noise: F.struct(x.alias("x"), noise.alias("noise"), (~noise & stop(x)).alias("stop"), (~noise & head(x)).alias("head"))
+    )
+    goes_on = lambda n: ~n["noise"] & n["head"] & ~n["x"].rlike(K.FRONTMATTER_END) & ~F.contains(n["x"], F.lit("@")) & ~P.is_authors(n["x"])
+
     def pick(lines: Column) -> Column:
-        ends = F.coalesce(F.get(F.filter(F.transform(lines, lambda x, i: F.when(stop(x) & ~P.is_title_noise(x), i)), lambda i: i.isNotNull()), 0), F.size(lines))
-        at = F.get(F.filter(F.transform(lines, lambda x, i: F.when((i < ends) & ~P.is_title_noise(x) & head(x), i)), lambda i: i.isNotNull()), 0)
         return let(
-            F.struct(lines.alias("l"), at.alias("at")),
-            lambda s: F.when(s["at"].isNull(), F.lit("")).otherwise(
-                let(
-                    F.coalesce(F.get(s["l"], s["at"] + 1), F.lit("")),
-                    lambda nxt: F.concat_ws(
-                        " ",
-                        F.get(s["l"], s["at"]),
-                        F.when(
-                            ~nxt.rlike(K.FRONTMATTER_END) & ~F.contains(nxt, F.lit("@")) & n_words(nxt).between(3, 25) & ~P.is_authors(nxt) & ~P.is_title_noise(nxt),
-                            nxt,
-                        ),
-                    ),
-                )
+            F.struct(lines.alias("l"), first_at(lines, lambda x, i: x["head"] | x["stop"]).alias("at")),
+            lambda s: F.when(s["at"].isNull() | F.get(s["l"], s["at"])["stop"], F.lit("")).otherwise(
+                F.concat_ws(" ", F.get(s["l"], s["at"])["x"], let(F.get(s["l"], s["at"] + 1), lambda n: F.when(goes_on(n), n["x"])))
             ),
         )
 
-    return let(F.slice(F.filter(F.transform(lines_of(c), lambda x: strip(x)), lambda x: x != ""), 1, 20), pick)
+    return let(F.transform(F.slice(F.filter(F.transform(lines_of(c), lambda x: strip(x)), lambda x: x != ""), 1, 20), judged), pick)
 
 
 def author_profiles(lines: Column) -> Column:
@@ -170,21 +161,33 @@ def author_profiles(lines: Column) -> Column:
     def with_(p: Column, **new: Column) -> Column:
         return F.struct(*[new.get(n, p[n]).alias(n) for n in ("name", "department", "institution", "place", "email")])
 
-    def step(acc: Column, raw: Column) -> Column:
-        s = collapse(raw)
-        p = acc["cur"]
+    def judged(raw: Column) -> Column:
+        return let(
+            collapse(raw),
+            lambda s: F.struct(
+                s.alias("s"),
+                F.contains(s, F.lit("@")).alias("mail"),
+                P.is_authors(s).alias("name"),
+                P.is_affiliation(s).alias("aff"),
+                P.is_institution(s).alias("inst"),
+                P.is_location(s).alias("place"),
+            ),
+        )
+
+    def step(acc: Column, line: Column) -> Column:
+        s, p = line["s"], acc["cur"]
         opened = p["name"].isNotNull()
         full = p["email"].isNotNull() | p["institution"].isNotNull() | p["department"].isNotNull() | p["place"].isNotNull()
         mail = F.nullif(F.regexp_extract(s, K.EMAIL, 0), F.lit(""))
-        name_line = ~F.contains(s, F.lit("@")) & P.is_authors(s)
+        name_line = ~line["mail"] & line["name"]
         cur = (
             F.when(s == "", p)
-            .when(F.contains(s, F.lit("@")), F.when(opened, with_(p, email=F.coalesce(mail, p["email"]))).otherwise(p))
+            .when(line["mail"], F.when(opened, with_(p, email=F.coalesce(mail, p["email"]))).otherwise(p))
             .when(name_line, with_(empty, name=s))
             .when(~opened, p)
-            .when(P.is_affiliation(s) & P.is_institution(s), with_(p, institution=F.coalesce(p["institution"], s)))
-            .when(P.is_affiliation(s), with_(p, department=F.coalesce(p["department"], s)))
-            .when(P.is_location(s), with_(p, place=s))
+            .when(line["aff"] & line["inst"], with_(p, institution=F.coalesce(p["institution"], s)))
+            .when(line["aff"], with_(p, department=F.coalesce(p["department"], s)))
+            .when(line["place"], with_(p, place=s))
             .otherwise(p)
         )
         done = F.when(name_line & opened & full, F.concat(acc["done"], F.array(p))).otherwise(acc["done"])
@@ -199,7 +202,7 @@ def author_profiles(lines: Column) -> Column:
         return F.when(keep, every).otherwise(F.slice(every, 1, 0))
 
     start = F.struct(F.filter(F.array(empty), lambda x: x["name"].isNotNull()).alias("done"), empty.alias("cur"))
-    return F.aggregate(lines, start, step, finish)
+    return F.aggregate(F.transform(lines, judged), start, step, finish)
 
 
 def headings(lines: Column) -> Column:

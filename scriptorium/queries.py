@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import constants as K
 from .functions import predicates as P
 from .functions.text import collapse, escape_latex, heading, let, lines_of, n_words, normalise_artifact, repeated, strip, text
-from .operators import convert, latex, layout, pdf_text, structure
-from .plans import synth
+from .operators import artifacts, convert, latex, layout, pdf_text, stateful, structure, thesis
+from .plans import pipeline, synth
 from .sources import projects
 from .streaming import jobs
 
@@ -471,7 +471,8 @@ def gap_sessions(spark, d):
 @query()
 def equation_regions(spark, d):
     """Grown equation regions of pages (stateful)."""
-    return layout.equation_regions(synth.page_lines(spark, d), 600.0)
+    math = F.when(F.col("ord") % 5 == 0, F.lit("y = a * x + (3)")).when(F.col("ord") % 5 == 1, F.lit("(2)")).otherwise(F.col("text"))
+    return layout.equation_regions(synth.page_lines(spark, d).withColumn("text", math), 600.0)
 
 
 @query()
@@ -659,3 +660,133 @@ def longest_snippets(spark, d):
     lines = F.array_distinct(F.filter(F.split(text("text"), "\n"), lambda x: F.length(x) >= 24))
     ranked = F.slice(F.array_sort(F.transform(lines, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1, 4)
     return _docs(spark, d).select("doc_id", F.posexplode(ranked).alias("n", "s")).select("doc_id", (F.col("n") + 1).cast("long").alias("n"), F.col("s.x").alias("snippet"))
+
+
+_THESIS = """t AS (SELECT doc_id, 'A dissertation submitted by Ann B. Lee entitled On ' || coalesce(source, '') || ' number ' || doc_id || chr(10) || 'and more be accepted' || chr(10)
+ || 'ABSTRACT ' || chr(10) || 'Short words ' || doc_id || ' of  work iv and so on.' || chr(10) || 'DEDICATION to all' || chr(10) || 'CHAPTER 1 INTRODUCTION' || chr(10) || substr(coalesce(text, ''), 1, 400) || chr(10)
+ || 'CHAPTER 2 METHODS' || chr(10) || substr(coalesce(text, ''), 401, 400) || chr(10) || 'REFERENCES' || chr(10) || '[1] A. Author, Title of the first long entry, 2001. [2] short' AS thesis FROM documents)"""
+
+
+def _theses(spark, d) -> DataFrame:
+    import re
+
+    expr = re.search(r"SELECT doc_id, (.*) AS thesis FROM", _THESIS, re.S).group(1)
+    return _docs(spark, d).selectExpr("doc_id", f"({expr}) AS thesis")
+
+
+@query("WITH " + _THESIS + r""" SELECT doc_id, trim(regexp_replace(regexp_extract(thesis, '(?is)entitled\s+(.*?)\s+(?:be\s+accepted|is\s+approved)', 1), '\s+', ' ', 'g')) AS title, 'Ann B. Lee' AS author,
+ 'Short words ' || doc_id || ' of work and so on.' AS abstract, 1::BIGINT AS n_references FROM t""")
+def thesis_fields(spark, d):
+    """Title, author, abstract and references of a thesis."""
+    c = F.col("thesis")
+    return _theses(spark, d).select("doc_id", thesis.title(c).alias("title"), thesis.author(c).alias("author"), thesis.abstract(c).alias("abstract"), F.size(thesis.references(c)).cast("long").alias("n_references"))
+
+
+@query()
+def thesis_chapters(spark, d):
+    """Chapters of a thesis behind its front matter."""
+    made = thesis.chapters(thesis.body(thesis.strip_front(F.col("thesis"))))
+    return _theses(spark, d).select("doc_id", F.posexplode(made).alias("ord", "s")).select("doc_id", "ord", "s.*")
+
+
+@query("""SELECT doc_id, 'In text, see the work.' AS body, 2::BIGINT AS n_references, 'B. Other, Some later paper title, 2011.' AS last_raw FROM documents""")
+def separated_references(spark, d):
+    """Bibliographies split from sections and continued ones merged."""
+    sec = lambda t, c: F.struct(F.lit(t).alias("title"), F.lit(c).alias("content"))
+    arr = F.array(
+        sec("Introduction", "In text, see the work."),
+        sec("References", "[1] A. Author, Title of the first, Journal, 2001."),
+        sec("More", "[2] B. Other, Some paper title, in Proceedings, 2010. [2] B. Other, Some later paper title, 2011."),
+    )
+    r = _docs(spark, d).select("doc_id", stateful.separate_references(arr).alias("r"))
+    return r.select("doc_id", F.element_at("r.sections", 1)["content"].alias("body"), F.size("r.references").cast("long").alias("n_references"), F.element_at("r.references", 2)["raw"].alias("last_raw"))
+
+
+@query(r"""SELECT doc_id, 'Text before. \subsection{Design of Parts} The body ' || doc_id || ' goes on.' AS marked FROM documents""")
+def marked_subsections(spark, d):
+    t = F.concat(F.lit("Text before. A. Design of Parts The body "), F.col("doc_id"), F.lit(" goes on."))
+    return _docs(spark, d).select("doc_id", stateful.mark_subsections(t).alias("marked"))
+
+
+@query(r"""SELECT doc_id, '\newcommand{\x' || doc_id || '}[1]{a {b} c}|\let\old\new' AS macros FROM documents""")
+def custom_macros(spark, d):
+    """Macro definitions of a preamble."""
+    pre = F.concat(F.lit("% \\newcommand{\\no}{}\n\\newcommand{\\x"), F.col("doc_id"), F.lit("}[1]{a\n {b} c}\n\\setlength{\\parskip}{1pt}\n\\let\\old\\new\n"))
+    return _docs(spark, d).select("doc_id", F.array_join(stateful.custom_macros(pre), "|").alias("macros"))
+
+
+@query("""SELECT doc_id, 'A. Author and B. Other' AS author, 'Title number ' || doc_id AS title FROM documents""")
+def citation_split(spark, d):
+    """Author and title of a raw citation."""
+    raw = F.concat(F.lit('A. Author and B. Other, "Title number '), F.col("doc_id"), F.lit(',\" in Proc. X Conf., 2023, pp. 1-10.'))
+    return _docs(spark, d).select("doc_id", stateful.citation_split(raw).alias("c")).select("doc_id", "c.*")
+
+
+@query("""SELECT doc_id, 'Plain words before. . And after it.' AS cleaned FROM documents""")
+def equation_residue(spark, d):
+    """Prose without the residue of displayed equations."""
+    t = F.lit("Plain words before. d = sqrt((x1 - x2)2 + (y1 - y2)2) + p1 / p2 (3). And after it.")
+    return artifacts.remove_equation_residue(_docs(spark, d).select("doc_id", t.alias("cleaned")), "cleaned")
+
+
+@query("""SELECT doc_id, 'y = a x (2)' AS line, '(2)' AS found FROM documents""")
+def linear_equations(spark, d):
+    """Equation lines folded to one, and their number."""
+    lines = F.array(F.lit("y ="), F.lit("(2)"), F.lit("a"), F.lit("x"))
+    return _docs(spark, d).select("doc_id", artifacts.linearize(lines).alias("line"), F.concat(F.lit("("), artifacts.equation_number(lines), F.lit(")")).alias("found"))
+
+
+@query("WITH {m}, " + _PARSE + """, a AS (SELECT doc_id, 'e' AS label FROM documents) SELECT a.doc_id, a.label, 'Method' AS section FROM a""")
+def placed_artifacts(spark, d):
+    """The section of an equation by its anchor, else of what mentions it."""
+    s = synth.manuscripts(spark, d).select("doc_id", F.explode(latex.sections(F.col("latex"))).alias("s")).select("doc_id", "s.*")
+    s = s.withColumn("content", F.when(F.col("title") == "Method", F.concat("content", F.lit(" by Eq. (7)."))).otherwise(F.col("content")))
+    a = _docs(spark, d).select("doc_id", *[F.lit(v).alias(k) for k, v in (("label", "e"), ("kind", "equation"), ("number", "7"), ("anchor", ""), ("raw", ""), ("caption", ""), ("fallback", ""))])
+    return artifacts.place(a, s).select("doc_id", "label", "section")
+
+
+@query("""SELECT doc_id, 'It ends here.' || chr(10) || chr(10) || '[F]' || chr(10) || ' Then ' || doc_id || chr(92) || '% more.' || chr(10) || chr(10) || '[G]' || chr(10) AS text FROM documents""")
+def injected_artifacts(spark, d):
+    """Artifacts put behind their anchors, prose escaped around them."""
+    t = F.concat(F.lit("It ends here. Then "), F.col("doc_id"), F.lit("% more."))
+    a = F.array(F.struct(F.lit("[F]").alias("latex"), F.lit("It ends here.").alias("anchor")), F.struct(F.lit("[G]").alias("latex"), F.lit("nowhere").alias("anchor")))
+    return _docs(spark, d).select("doc_id", artifacts.inject(t, a, escape=True).alias("text"))
+
+
+@query("""SELECT doc_id, 'Words stay ' || doc_id || ' and go on.' AS cleaned FROM documents""")
+def scrubbed_snippets(spark, d):
+    """Prose without the text of artifacts that were placed."""
+    t = F.concat(F.lit("Words stay "), F.col("doc_id"), F.lit(" a long table row of values 1 2 3 4 and go on."))
+    return _docs(spark, d).select("doc_id", artifacts.remove_snippets(t, F.array(F.lit("a long table row of values 1 2 3 4"), F.lit("short"))).alias("cleaned"))
+
+
+@query("""SELECT doc_id, 'success' AS status, 3 - (doc_id % 3 = 0)::INT AS n_sections FROM documents""")
+def converted(spark, d):
+    """Whole conversions to ACM: status and size."""
+    m = synth.manuscripts(spark, d).withColumn("references", _refs())
+    return pipeline.convert_latex(m, "ieee").select("doc_id", "status", "n_sections")
+
+
+@query()
+def conversion_reports(spark, d):
+    """Reports of whole conversions."""
+    m = synth.manuscripts(spark, d).withColumn("references", _refs())
+    return pipeline.convert_latex(m, "ieee").select("doc_id", pipeline.report().alias("report"), "guard", "items")
+
+
+@query()
+def pdf_confidence(spark, d):
+    """Confidence of records of extracted texts."""
+    return pipeline.pdf_records(synth.manuscripts(spark, d)).select("doc_id", "confidence", F.size("sections").alias("n_sections"))
+
+
+@query("WITH {m} SELECT doc_id, CASE WHEN n = 0 THEN '' ELSE 'ref1|ref2' END AS keys FROM (SELECT doc_id, 1 AS n FROM m)")
+def reference_placeholders(spark, d):
+    return synth.manuscripts(spark, d).select("doc_id", F.array_join(F.transform(stateful.reference_placeholders(F.col("pdf")), lambda r: r["key"]), "|").alias("keys"))
+
+
+@query("""SELECT doc_id, '@article{k' || doc_id || ', title={A {B} c}}' AS raw, 'k' || doc_id AS key FROM documents""")
+def bib_entries(spark, d):
+    """Entries of a BibTeX text with nested braces."""
+    t = F.concat(F.lit("junk @article{k"), F.col("doc_id"), F.lit(", title={A {B} c}} @string{nokey} @book{open, x={"))
+    return _docs(spark, d).select("doc_id", F.explode(projects.bib_entries(t)).alias("e")).select("doc_id", "e.*")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schema as S
+
 BEGIN = r"\begin{document}"
 INCLUDE = r"\\(?:input|include)\{([^}]+)\}"
 
@@ -71,7 +73,7 @@ def inline_includes(files: DataFrame, entries: DataFrame) -> DataFrame:
     return marked.groupBy("project").applyInPandas(splice, "project string, text string")
 
 
-@F.pandas_udf("array<struct<key:string,raw:string>>")
+@F.pandas_udf(S.REFERENCES)
 def bib_entries(raw: pd.Series) -> pd.Series:
     """Entries of a BibTeX text with balanced braces; those without a key are dropped."""
 
@@ -96,8 +98,8 @@ def bib_entries(raw: pd.Series) -> pd.Series:
 
 
 def flat_bib_entries(raw: Column) -> Column:
-    """The same for entries whose braces nest once at most, without Python."""
-    found = F.regexp_extract_all(raw, F.lit(r"(@\w+\{(?:[^{}]|\{[^{}]*\})*\})"), 1)
+    """The same for entries whose braces nest twice at most, without Python."""
+    found = F.regexp_extract_all(raw, F.lit(r"(@\w+\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})"), 1)
     made = F.transform(found, lambda e: F.struct(F.regexp_extract(e, r"^@\w+\{\s*([^,\s]+)\s*,", 1).alias("key"), e.alias("raw")))
     return F.filter(made, lambda r: r["key"] != "")
 
