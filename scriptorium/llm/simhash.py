@@ -21,6 +21,8 @@ from ._util import materialize, worker_state
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
 #: Fingerprints aimed at in a shard, and drawn to place the vantage points.
 SHARD_SIZE, SAMPLE = 32_768, 20_000
+#: Parts in which the members of a large group get their component_id.
+SALTS = 16
 
 
 def _lanes() -> np.ndarray:
@@ -214,9 +216,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     marked = materialize(fingerprints(docs), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    owned = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    owners = owned.select("fp", "root").join(least, "root").select("fp", "component_id")
+    owned = nodes.join(roots, "fp", "left")
+    # a group's minimum is found with partial minima, and goes back to its members by
+    # salted keys; fingerprints without links are their own group
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    least = owned.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
+    owners = (
+        owned.withColumns({"root": F.coalesce("root", "fp"), "salt": F.pmod(F.xxhash64("fp"), F.lit(SALTS))})
+        .join(least.withColumn("salt", F.explode(salts)), ["root", "salt"], "left")
+        .select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    )
     return marked.join(owners, "fp").select("doc_id", "fp", "component_id")
 
 
