@@ -27,7 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
+    # with its scheme, so that Python workers reach the same store as Spark does
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if whole.startswith("file:/") and not whole.startswith("file://"):
+        whole = "file://" + whole[len("file:") :]
+    return whole.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -176,3 +176,24 @@ def test_trees_merge_leftmost_lowest():
         assert own._merge_one(piece).tolist() == symbols if n > 1 else True
         if 1 < n <= 64:
             assert own._merge_rows([piece, piece[::-1], piece], max(4, 1 << (n - 1).bit_length()))[2].tolist() == symbols
+
+
+def test_shared_folder_names_its_store(spark):
+    from scriptorium.llm import _files, _util
+
+    folder = _util.shared_dir(spark)
+    assert folder.startswith("file:///")
+    path = f"{folder}/sub/one.bin"
+    assert _files.write_whole(path, [b"ab", b"c"]) == 3
+    with _files.open_random(path) as f:
+        assert f.read() == b"abc"
+    spark.read.format("binaryFile").load(path).count()
+    _util.remove(spark, f"{folder}/sub")
+
+
+def test_files_survive_a_repeated_task(spark, tmp_path):
+    docs = documents(spark)
+    first = token_files.write_token_files(docs, str(tmp_path / "t"), partitions=3)
+    bytes_ = {m["path"]: open(m["path"], "rb").read() for m in first}
+    again = token_files.write_token_files(docs, str(tmp_path / "t"), partitions=3)
+    assert again == first and {m["path"]: open(m["path"], "rb").read() for m in again} == bytes_
