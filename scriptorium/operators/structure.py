@@ -101,10 +101,3 @@ def sections(c: Column) -> Column:
 
     return let(F.split(text(c), "\n"), cut)
 
-
-def generic_article(title_: Column, paragraphs_: Column) -> Column:
-    """A plain article: the title and the first twenty paragraphs."""
-    return F.concat(
-        F.lit("\\documentclass{article}\n\\begin{document}\n\\title{"), title_, F.lit("}\n\\maketitle\n"),
-        F.array_join(F.slice(paragraphs_, 1, 20), "\n\n"), F.lit("\n\\end{document}\n"),
-    )

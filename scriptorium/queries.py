@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import constants as K
 from .functions import predicates as P
 from .functions.text import collapse, escape_latex, heading, let, lines_of, n_words, normalise_artifact, repeated, strip, text
-from .operators import artifacts, convert, latex, layout, pdf_text, stateful, structure, thesis
+from .operators import artifacts, convert, generic, latex, layout, pdf_text, stateful, structure, thesis
 from .plans import pipeline, synth
 from .sources import projects
 from .streaming import jobs
@@ -790,3 +790,17 @@ def bib_entries(spark, d):
     """Entries of a BibTeX text with nested braces."""
     t = F.concat(F.lit("junk @article{k"), F.col("doc_id"), F.lit(", title={A {B} c}} @string{nokey} @book{open, x={"))
     return _docs(spark, d).select("doc_id", F.explode(projects.bib_entries(t)).alias("e")).select("doc_id", "e.*")
+
+
+@query()
+def generic_articles(spark, d):
+    """A generic article of each text."""
+    return _docs(spark, d).select("doc_id", generic.article(text("text"), F.concat(F.lit("doc "), F.col("doc_id"))).alias("main"))
+
+
+@query(r"""SELECT doc_id, '\usepackage{booktabs}|\usepackage{xcolor}|\usetikzlibrary{arrows}|\graphicspath{{figs/}{./}}' AS lines FROM documents""")
+def preamble_lines(spark, d):
+    """The preamble that a body and its source ask for."""
+    lit = lambda *v: F.array(*[F.lit(x) for x in v])
+    made = generic.preamble_lines(F.lit("\\toprule"), lit("booktabs", "xcolor", "odd"), lit("\\usetikzlibrary{arrows}"), lit("figs", "./", " "), F.array().cast("array<string>"))
+    return _docs(spark, d).select("doc_id", F.array_join(made, "|").alias("lines"))

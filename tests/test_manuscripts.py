@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import predicates as P
 from scriptorium.functions import text as T
-from scriptorium.operators import artifacts, convert, latex, layout, pdf_text, stateful, structure, thesis
+from scriptorium.operators import artifacts, convert, generic, latex, layout, pdf_text, stateful, structure, thesis
 from scriptorium.plans import pipeline
 from scriptorium.sources import projects
 from scriptorium.streaming import jobs
@@ -351,3 +351,11 @@ def test_job_stream(spark, tmp_path):
     state = jobs.stream_latest(stream).writeStream.outputMode("complete").format("memory").queryName("job_state").trigger(availableNow=True).start()
     state.awaitTermination()
     assert {r.job_id: r["last"].status for r in spark.table("job_state").collect()} == {1: "running", 2: "running"}
+
+
+def test_generic_article(spark):
+    assert value(spark, generic.sanitize(T_), "50% of  \\textbf{a_b} & $x_1$ {c} \\ _") == "50\\% of \\textbf{a_b} \\& $x_1$ \\{c\\} \\textbackslash{} \\_"
+    text = "1 Scope of Work\nplain\n\n- one\n- two & more\n\nalpha | beta | gamma\nsome | rows\n\n"
+    made = value(spark, generic.article(T_, F.lit("n_1")), text)
+    assert "\\section{1 Scope of Work}" in made and "  \\item two \\& more\n" in made and "\\title{n\\_1}" in made
+    assert "{c | c | c}\n\\toprule\nalpha & beta & gamma \\\\\n\\midrule\nsome & rows &  \\\\\n\\bottomrule" in made
