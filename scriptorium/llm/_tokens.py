@@ -38,11 +38,12 @@ class UnitCache:
 
     ``join(parts)`` puts the values of consecutive units together and
     ``whole(text)`` encodes a text that can't be cut.  Memory is bounded by
-    ``limit`` units: the cache starts anew when it is full.
+    ``limit`` units: the cache starts anew when it is full.  New units are encoded
+    line by line, or, if ``batched``, for all texts of a call together.
     """
 
-    def __init__(self, encode_units, join, limit: int = CACHE_UNITS):
-        self.encode_units, self.join, self.limit = encode_units, join, limit
+    def __init__(self, encode_units, join, limit: int = CACHE_UNITS, batched: bool = True):
+        self.encode_units, self.join, self.limit, self.batched = encode_units, join, limit, batched
         self.spaced: dict = {}  # unit without its leading space
         self.plain: dict = {}
         self.newline = encode_units(["\n"])[0]
@@ -62,11 +63,36 @@ class UnitCache:
         was = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(texts)
+            return self._encode(texts) if self.batched else list(map(self._encode_one, texts))
         finally:
             if was:
                 gc.enable()
 
+    def _encode_one(self, text: str | None):
+        if not text:
+            return self.join([])
+        if _TOUCHING.search(text):
+            return self.encode_units([text])[0]
+        if len(self.spaced) + len(self.plain) > self.limit:
+            self.spaced.clear()
+            self.plain.clear()
+        plain, spaced, known, parts = self.plain, self.spaced, self.spaced.get, []
+        for i, line in enumerate(text.split("\n")):
+            units = line.split(" ")
+            head = units[0]
+            values = list(map(known, units))
+            values[0] = plain.get(head)
+            if values[0] is None:
+                values[0] = plain[head] = self.encode_units([head])[0] if head else self.join([])
+            if None in values:
+                new = [k for k, v in enumerate(values) if v is None]
+                for k, v in zip(new, self.encode_units([units[k] for k in new], " ")):
+                    values[k] = spaced[units[k]] = v
+            if i:
+                parts.append(self.newline)
+            parts += values
+        return self.join(parts)
+
     def _encode(self, texts: list[str | None]) -> list:
         cut: list = []
         first, rest = set(), set()
@@ -79,7 +105,7 @@ class UnitCache:
                 lines = [line.split(" ") for line in text.split("\n")]
                 for line in lines:
                     first.add(line[0])
-                    rest.update(line)
+                    rest.update(line[1:])
                 cut.append(lines)
         self._fill(self.plain, first, "")
         self._fill(self.spaced, rest, " ")
@@ -173,7 +199,7 @@ def public_encoder(vocabulary: str = VOCABULARY) -> UnitCache:
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        state["encoder", path] = UnitCache(_unit_encoder(tok), b"".join)
+        state["encoder", path] = UnitCache(_unit_encoder(tok), b"".join, batched=False)
     return state["encoder", path]
 
 

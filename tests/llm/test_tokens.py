@@ -36,10 +36,11 @@ def documents(spark, texts=TEXTS):
 def test_unit_cache_equals_library():
     encoder = _tokens.public_encoder()
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(TEXTS)] == library_ids(TEXTS)
-    small = _tokens.UnitCache(encoder.encode_units, b"".join, limit=50)
-    for lo in range(0, len(TEXTS), 7):
-        part = TEXTS[lo : lo + 7]
-        assert [np.frombuffer(b, "<u4").tolist() for b in small.encode(part)] == library_ids(part)
+    for batched in (True, False):
+        small = _tokens.UnitCache(encoder.encode_units, b"".join, limit=50, batched=batched)
+        for lo in range(0, len(TEXTS), 7):
+            part = TEXTS[lo : lo + 7]
+            assert [np.frombuffer(b, "<u4").tolist() for b in small.encode(part)] == library_ids(part)
 
 
 @settings(max_examples=60, deadline=None)
