@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm._util import materialize
 from scriptorium.llm.language_id import keep_identified, train
+from scriptorium.llm.near_copies import keep_one
 from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.quality import keep_good
-from scriptorium.llm.simhash import keep_one
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest doc_id."""
+    """One document of each group of near copies, the one of smallest doc_id: five-word
+    shingle sets of Jaccard similarity 0.8 or more."""
     return keep_one(docs)
 
 
