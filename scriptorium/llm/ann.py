@@ -22,7 +22,8 @@ from ._util import materialize
 
 #: Trees, bits of a hash string, and the share of a block to gather as candidates.
 TREES, BITS, SHARE = 96, 32, 0.4
-#: Candidates gathered at least: a small block is searched as a whole.
+#: A block of so many distinct vectors or fewer is searched as a whole; a larger one
+#: gathers candidates worth so many at least.
 FLOOR = 2500
 #: Distinct vectors in a block, query vectors in a group.
 BLOCK, GROUP = 25_000, 20_000
@@ -86,18 +87,22 @@ def search(vectors: np.ndarray, queries: np.ndarray, keep: int, share: float = S
     and turns the largest product into the smallest angle.  Of equal scores at the
     end of a list all are kept, so later ties can be broken by id.
     """
-    norms = np.linalg.norm(vectors, axis=1)
-    top = norms.max()
-    lifted = np.concatenate([vectors, np.sqrt(np.maximum(0, top * top - norms * norms))[:, None]], axis=1) / top
-    forest = Forest(lifted, trees, bits)
-    raised = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
-    # entries of all trees that amount to the share of distinct vectors, if trees were independent
+    whole = len(vectors) <= FLOOR
+    if not whole:
+        norms = np.linalg.norm(vectors, axis=1)
+        top = norms.max()
+        lifted = np.concatenate([vectors, np.sqrt(np.maximum(0, top * top - norms * norms))[:, None]], axis=1) / top
+        forest = Forest(lifted, trees, bits)
+        raised = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
+    # entries of all trees that amount to the share of distinct vectors, if trees were independent;
+    # over FLOOR vectors that is over 100 for each tree, so the query's own entries can't fill them
     share = max(share, min(0.999, FLOOR / len(vectors)))
     wanted = int(np.ceil(-np.log1p(-share) * len(vectors)))
     for at in range(0, len(queries), 1024):
-        lo, hi = forest.ranges(raised[at : at + 1024], wanted)
-        for k in range(len(lo)):
-            found = forest.candidates(lo[k], hi[k])
+        if not whole:
+            lo, hi = forest.ranges(raised[at : at + 1024], wanted)
+        for k in range(len(queries[at : at + 1024])):
+            found = np.arange(len(vectors)) if whole else forest.candidates(lo[k], hi[k])
             scores = vectors[found] @ queries[at + k]
             if len(found) > keep:
                 edge = np.partition(scores, len(found) - keep)[len(found) - keep]
@@ -149,7 +154,15 @@ def nearest(
     keep = top + 1  # the query itself may be among them
     base = materialize(distinct_vectors(embeddings, keep), "vectors")
     base = base.withColumn("dim", F.size("vec"))
-    n = base.count()
+    # blocks and groups are counted for each length of vectors
+    large = [(r["dim"], r["n"]) for r in base.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min(block, group)).collect()]
+
+    def parts(dim: str, size: int):
+        out = F.lit(1).cast("long")
+        for d, n in large:
+            out = F.when(F.col(dim) == d, F.lit(-(-n // size)).cast("long")).otherwise(out)
+        return out
+
     queries = (
         embeddings.filter(is_query)
         .select(F.col("vec_id").cast("long").alias("query_id"), F.sha2(F.to_json(F.struct(F.col("embedding").cast("array<double>"))), 256).alias("key"))
@@ -157,11 +170,10 @@ def nearest(
     )
     points = base.select(*[F.col(c).alias(f"q_{c}") for c in ("key", "vec", "dim")])
     wanted = queries.select(F.col("key").alias("q_key")).distinct().join(points, "q_key")
-    blocks, groups = max(1, -(-n // block)), max(1, -(-n // group))
-    spread = lambda key, m: F.pmod(F.xxhash64(F.lit("deal"), key), F.lit(m))
-    every = lambda m: F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))
-    left = base.withColumns({"b": spread("key", blocks), "g": F.explode(every(groups))})
-    right = wanted.withColumns({"q_g": spread("q_key", groups), "q_b": F.explode(every(blocks))})
+    spread = lambda key, m: F.pmod(F.xxhash64(F.lit("deal"), key), m)
+    every = lambda m: F.sequence(F.lit(0).cast("long"), m - 1)
+    left = base.withColumns({"b": spread("key", parts("dim", block)), "g": F.explode(every(parts("dim", group)))})
+    right = wanted.withColumns({"q_g": spread("q_key", parts("q_dim", group)), "q_b": F.explode(every(parts("q_dim", block)))})
     schema = pa.schema([("qkey", pa.string()), ("key", pa.string()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
 
     def run(have: pa.Table, ask: pa.Table) -> pa.Table:
