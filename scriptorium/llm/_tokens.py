@@ -3,7 +3,8 @@
 A text is cut where the vocabulary's pattern cuts as well: at line ends and
 before single spaces between visible characters.  The pieces repeat a lot, so
 each is encoded once and its ids, as bytes, are looked up afterwards.  Texts in
-which white space touches white space are encoded whole, without the cache.
+which white space touches white space, or which hold one of the vocabulary's added
+tokens (the library finds these before it cuts), are encoded whole, without the cache.
 """
 
 from __future__ import annotations
@@ -42,12 +43,15 @@ class UnitCache:
     line by line, or, if ``batched``, for all texts of a call together.
     """
 
-    def __init__(self, encode_units, join, limit: int = CACHE_UNITS, batched: bool = True):
-        self.encode_units, self.join, self.limit, self.batched = encode_units, join, limit, batched
+    def __init__(self, encode_units, join, limit: int = CACHE_UNITS, batched: bool = True, added: tuple[str, ...] = ()):
+        self.encode_units, self.join, self.limit, self.batched, self.added = encode_units, join, limit, batched, added
         self.spaced: dict = {}  # unit without its leading space
         self.plain: dict = {}
         self.newline = encode_units(["\n"])[0]
 
+    def _uncut(self, text: str) -> bool:
+        return bool(_TOUCHING.search(text)) or any(a in text for a in self.added)
+
     def _fill(self, cache: dict, units: set, prefix: str) -> None:
         missing = list(units.difference(cache))
         if len(cache) + len(missing) > self.limit:
@@ -71,7 +75,7 @@ class UnitCache:
     def _encode_one(self, text: str | None):
         if not text:
             return self.join([])
-        if _TOUCHING.search(text):
+        if self._uncut(text):
             return self.encode_units([text])[0]
         if len(self.spaced) + len(self.plain) > self.limit:
             self.spaced.clear()
@@ -99,7 +103,7 @@ class UnitCache:
         for text in texts:
             if not text:
                 cut.append(None)
-            elif _TOUCHING.search(text):
+            elif self._uncut(text):
                 cut.append(text)
             else:
                 lines = [line.split(" ") for line in text.split("\n")]
@@ -198,8 +202,8 @@ def public_encoder(vocabulary: str = VOCABULARY) -> UnitCache:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        state["encoder", path] = UnitCache(_unit_encoder(tok), b"".join, batched=False)
+        added = tuple(t.content for t in tok.get_added_tokens_decoder().values())
+        state["encoder", path] = UnitCache(_unit_encoder(tok), b"".join, batched=False, added=added)
     return state["encoder", path]
 
 
