@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import materialize
+from ._util import hot_join, materialize
 
 
 def _pointed(edges: DataFrame) -> DataFrame:
@@ -28,14 +28,14 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star rounds until nothing changes; the number
     of rounds is logarithmic in practice.  Each round is written to the shared
     folder.  Per-node state is a minimum, so a node with very many neighbours is
-    pre-aggregated before it is shuffled, and its edges are split by the join.
+    pre-aggregated before it is shuffled; its edges are not gathered by the join.
     """
     now = materialize(_pointed(edges), "edges")
     mark = _fingerprint(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")), "edges")
+        large = hot_join(both, least, ["a"], "inner").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = _pointed(large)
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select("b", "m", "a")
@@ -54,3 +54,12 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+
+
+def with_least(nodes: DataFrame, name: str, links: DataFrame) -> DataFrame:
+    """``nodes(name, least, n)`` with the smallest ``least`` of each component of ``links``."""
+    roots = components(links).withColumnRenamed("node", name)
+    owned = materialize(nodes.join(roots, name, "left").withColumn("root", F.coalesce("root", name)), "owned")
+    of_all = owned.groupBy("root").agg(F.min("least").alias("of_all"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    found = hot_join(owned.withColumnRenamed("n", "rows"), materialize(of_all, "of_all"), ["root"])
+    return materialize(found.select(name, F.when(F.col("of_all").isNull(), F.col("least")).otherwise(F.col("of_all")).alias("least"), F.col("rows").alias("n")), "owners")

@@ -18,13 +18,15 @@ WS = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names; only where that is unset (local
-    tests) a folder of the driver's own is made and set.
+    It is what ``spark.checkpoint.dir`` names; only where that is unset and the
+    master is local (tests) a folder of the driver's own is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         named = spark.sparkContext.getCheckpointDir()
     # with its scheme, so that Python workers reach the same store as Spark does
@@ -61,6 +63,52 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A join sends at most so many hot keys to every task.
+HOT_KEYS = 10_000
+
+
+def hot_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``rows`` joined to ``few``, one row a key with the number ``n`` of rows it meets.
+
+    Keys that meet over one in ``HOT_KEYS`` rows (so fewer than ``HOT_KEYS`` of them)
+    are broadcast, and their rows stay where they are; the other keys, of which none
+    is hot, are joined by a shuffle.  Give tables that are cheap to read twice.
+    """
+    total, most = few.agg(F.sum("n"), F.max("n")).first()
+    least = max(1000, (total or 0) // HOT_KEYS + 1)
+    if (most or 0) < least:
+        return rows.join(few.drop("n"), keys, how)
+    cold = few.filter(F.col("n") < least).drop("n")
+    hot = F.broadcast(few.filter(F.col("n") >= least).drop("n"))
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys, how))
+
+
+def keep_named(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their group, with all columns of ``docs``.
+
+    ``marked(doc_id, k, component_id, component_k)`` tells each row's group and the
+    group's chosen (doc_id, MD5 of the text).  Only keys are shuffled to find what
+    goes; rows of one (doc_id, text) become one, rows without a doc_id stay.
+    """
+    ours = docs.select("*", F.col("doc_id").cast("long").alias("__doc"), text_key(F.col("text")).alias("__key"))
+    keys = marked.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__doc"), F.col("k").alias("__key"))
+    known = materialize(
+        keys.agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("c"), F.first("component_k").alias("ck"))
+        .select("__doc", "__key", "n", ((F.col("__doc") == F.col("c")) & (F.col("__key") == F.col("ck"))).alias("chosen"))
+        .filter(~F.col("chosen") | (F.col("n") > 1)),
+        "decided",
+    )
+    single = ours.join(known.select("__doc", "__key"), ["__doc", "__key"], "left_anti")
+    repeated = ours.join(known.filter("chosen").select("__doc", "__key"), ["__doc", "__key"], "left_semi").dropDuplicates(["__doc", "__key"])
+    return single.select(*docs.columns).unionByName(repeated.select(*docs.columns))
+
+
+def text_key(text: Column) -> Column:
+    """MD5 of a text's bytes; null counts as empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 

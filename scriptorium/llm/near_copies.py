@@ -1,12 +1,17 @@
-"""Near copies by five-word shingles: MinHash bands, then an exact comparison.
+"""Near copies by five-word shingles: SimHash groups, completed by MinHash bands.
 
 Two documents are linked where the Jaccard similarity of their shingle sets is at
 least ``SIMILAR``; groups are the connected components.  Documents of one shingle
-set are one node.  Nodes that agree in a band share a bucket; a bucket's nodes are
-compared with its smallest node, those not linked to it with their smallest again,
-and what is then in different components pair by pair.  Every link is checked on
-whole shingle sets, so nothing dissimilar is linked; of pairs at 0.8 about 4 in
-10 000 share no band, of more similar ones fewer.
+set are one node.
+
+Buckets come from the SimHash operator, run on five-word shingles (a group of
+fingerprints within 3 bits, found by its vantage-point trees, is a bucket), and,
+because pairs at 0.8 lie some 10 bits apart, where no vantage-point tree prunes,
+from MinHash bands.  A bucket's nodes are compared with its smallest node, those
+not linked to it with their smallest again, and what is then in different
+components pair by pair, where sizes and fingerprints allow it.  Every link is
+checked on whole shingle sets, so nothing dissimilar is linked; of pairs at 0.8
+about 4 in 10 000 share no band, of more similar ones fewer.
 """
 
 from __future__ import annotations
@@ -16,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._components import components
-from ._util import materialize, worker_state
-from .simhash import SALTS
+from ._components import components, with_least
+from ._util import hot_join, keep_named, materialize, text_key, worker_state
+from .simhash import bits_of, lanes_of_bytes, near_links
 
 SHINGLE_WORDS, SIMILAR, SEED = 5, 0.8, 42
 #: Bands, and minimum hashes in a band.
 BANDS, ROWS = 20, 5
 #: Rounds of comparing with a bucket's smallest node before pairs are compared.
 STARS = 2
+#: Fingerprints of a pair at 0.8 differ in 10 bits of 64, give or take 3; beyond this no pair is compared.
+MOST_BITS = 24
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -66,15 +73,17 @@ def _sketch_batches(batches):
     import xxhash
 
     worker_state("near_copies")
-    factors = random_factors()
+    factors, lanes = random_factors(), lanes_of_bytes()
     for batch in batches:
-        nodes, keys = [], []
+        nodes, keys, prints, sizes = [], [], [], []
         for t in batch.column(2):
             h = shingles(t.as_py())
             nodes.append(xxhash.xxh3_64_intdigest(h.tobytes(), SEED))
             keys.append(band_keys(h, factors))
-        found = pa.array(np.array(nodes, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "k", "node", "bands"])
+            prints.append(bits_of(h, lanes))
+            sizes.append(len(h))
+        found = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["doc_id", "k", "node", "bands", "fp", "size"])
 
 
 def _similar_batches(batches):
@@ -92,70 +101,97 @@ def _similar_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
 
+def _possible(left: str, right: str):
+    """Whether sizes and fingerprints of two nodes allow a similarity of ``SIMILAR``."""
+    a, b = F.col(f"{left}.size"), F.col(f"{right}.size")
+    near = F.bit_count(F.col(f"{left}.fp").bitwiseXOR(F.col(f"{right}.fp"))) <= MOST_BITS
+    return (F.least(a, b) >= SIMILAR * F.greatest(a, b)) & near
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """Links ``(a, b)`` between ``nodes(node, k, bands)``, whose texts are those of
-    ``docs`` with digest k; None where no bucket holds two."""
-    buckets = nodes.select(F.explode("bands").alias("band"), "node")
+    """Links ``(a, b)`` between ``nodes(node, k, bands, fp, size)``, whose texts are
+    those of ``docs`` with digest k; None where no bucket holds two."""
+    nodes = nodes.filter("size > 0")
+    groups = components(near_links(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
+    simhash = nodes.join(groups, "fp", "left").select(
+        F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("band"), F.struct("node", "fp", "size").alias("x")
+    )
+    buckets = materialize(nodes.select(F.explode("bands").alias("band"), F.struct("node", "fp", "size").alias("x")).unionByName(simhash), "bands")
     rest, links, tried, texts = buckets, None, None, None
 
     def compared(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.withColumnRenamed("text", "x"), "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("y")), "rep")
         return materialize(both.select(F.col("node").alias("a"), F.col("rep").alias("b"), "x", "y").mapInArrow(_similar_batches, "a long, b long"), "links")
 
+    def named(some: DataFrame) -> DataFrame:
+        wanted = nodes.select("node", "k").join(some.select("node").union(some.select(F.col("rep").alias("node"))).distinct(), "node")
+        keyed = docs.select(text_key(F.col("text")).alias("k"), "text")
+        return materialize(keyed.join(wanted, "k").groupBy("node").agg(F.min("text").alias("text")), "texts")
+
     for _ in range(STARS):
-        ends = rest.groupBy("band").agg(F.min("node").alias("rep"), F.max("node").alias("top")).filter("rep < top")
-        tied = materialize(rest.join(ends.select("band", "rep"), "band").filter("node <> rep"), "buckets")
-        pairs = materialize(tied.select("node", "rep").distinct(), "pairs")
-        if pairs.isEmpty():
+        ends = rest.groupBy("band").agg(F.min("x").alias("rep"), F.max("x.node").alias("top"), F.count(F.lit(1)).alias("n")).filter("rep.node < top")
+        tied = materialize(hot_join(rest, materialize(ends.drop("top"), "ends"), ["band"], "inner").filter("x.node <> rep.node"), "buckets")
+        if tied.isEmpty():
             break
+        pairs = materialize(tied.filter(_possible("x", "rep")).select("x.node", F.col("rep.node").alias("rep")).distinct(), "pairs")
         if texts is None:
-            some = pairs.select("node").union(pairs.select(F.col("rep").alias("node"))).distinct()
-            named = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k"), "text")
-            wanted = nodes.select("node", "k").join(some, "node")
-            texts = materialize(named.join(wanted, "k").groupBy("node").agg(F.min("text").alias("text")), "texts")
+            # of every bucket of two or more: what later rounds compare is among these
+            texts = named(materialize(tied.select("x.node", F.col("rep.node").alias("rep")).distinct(), "named"))
         good = compared(pairs)
         links = good if links is None else links.unionByName(good)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        rest = tied.join(good, (tied["node"] == good["a"]) & (tied["rep"] == good["b"]), "left_anti").select("band", "node")
+        rest = tied.join(good, (F.col("x.node") == good["a"]) & (F.col("rep.node") == good["b"]), "left_anti").select("band", "x")
     if links is None:
         return None
     # what the stars have not joined is compared across components, each pair once
-    placed = buckets.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = components(links).select("node", "root")
+    placed = buckets.withColumn("node", F.col("x.node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    open_ = materialize(placed.join(mixed, "band"), "mixed")
-    left, right = open_, open_.select("band", F.col("node").alias("rep"), F.col("root").alias("other"))
-    cross = left.join(right, "band").filter("root <> other AND node > rep").select("node", "rep").distinct()
-    return links.unionByName(compared(cross.join(tried, ["node", "rep"], "left_anti")))
+    open_ = materialize(placed.join(mixed, "band").select("band", "x", "root"), "mixed")
+    left, right = open_.alias("l"), open_.select("band", F.col("x").alias("y"), F.col("root").alias("other")).alias("r")
+    apart = (F.col("root") != F.col("other")) & (F.col("x.node") > F.col("y.node"))
+    cross = left.join(right, (F.col("l.band") == F.col("r.band")) & apart & _possible("x", "y"))
+    new = cross.select("x.node", F.col("y.node").alias("rep")).distinct().join(tried, ["node", "rep"], "left_anti")
+    return links.unionByName(compared(new))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """``(doc_id, k, component_id, component_k)``, one row per row of ``docs(doc_id, text)``:
+    the MD5 of the text, and the smallest (doc_id, MD5) of the group."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("k"), "text")
+    marked = materialize(named.mapInArrow(_sketch_batches, "doc_id long, k string, node long, bands array<long>, fp long, size long"), "sketches")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), "k")))
+    nodes = materialize(
+        marked.groupBy("node").agg(
+            first.alias("least"), F.min("k").alias("k"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("bands", "fp", "size")]
+        ),
+        "nodes",
+    )
+    links = similar_links(docs, nodes)
+    owners = nodes.select("node", "least", "n")
+    if links is not None:
+        owners = with_least(owners, "node", links)
+    return hot_join(marked.select("doc_id", "k", "node"), owners, ["node"]).select(
+        "doc_id", "k", F.col("least.id").alias("component_id"), F.col("least.k").alias("component_k")
+    )
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """``(doc_id, component_id)``, one row per row of ``docs(doc_id, text)``.
 
-    component_id is the smallest non-null doc_id of the group; texts without words
-    are one group.
+    component_id is the smallest non-null doc_id of the group (null where all are
+    null).  Null and empty texts, and texts of white space, have no shingles and are
+    one group; a text of fewer than five words is one shingle.  Texts of any length
+    are compared whole; repeated rows keep their rows; other columns play no part.
     """
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k"), "text")
-    marked = materialize(named.mapInArrow(_sketch_batches, "doc_id long, k string, node long, bands array<long>"), "sketches")
-    nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.first("bands").alias("bands")), "nodes")
-    links = similar_links(docs, nodes)
-    owners = nodes.select("node", F.col("least").alias("component_id"))
-    if links is not None:
-        owned = nodes.select("node", "least").join(components(links), "node", "left")
-        salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-        least = owned.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
-        owners = (
-            owned.withColumns({"root": F.coalesce("root", "node"), "salt": F.pmod(F.xxhash64("node"), F.lit(SALTS))})
-            .join(least.withColumn("salt", F.explode(salts)), ["root", "salt"], "left")
-            .select("node", F.coalesce("component_id", "least").alias("component_id"))
-        )
-    return marked.select("doc_id", "node").join(owners, "node").select("doc_id", "component_id")
+    return grouped(docs).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, all columns.
+    """One document of each group, the smallest (doc_id, MD5 of the text), all columns.
 
-    Rows without a doc_id cannot be named by a group and stay; repeated rows
-    (same doc_id and text) become one.
+    Rows without a doc_id cannot be named by a group and stay; repeated rows (same
+    doc_id and text) become one, whichever of them; different texts under one doc_id
+    are judged apart.
     """
-    lost = near_copies(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return keep_named(docs, grouped(docs))

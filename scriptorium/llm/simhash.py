@@ -14,18 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._components import components
-from ._util import materialize, worker_state
+from ._components import with_least
+from ._util import hot_join, keep_named, materialize, text_key, worker_state
 
 #: Fixed by the definition of the fingerprint.
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
 #: Fingerprints aimed at in a shard, and drawn to place the vantage points.
-SHARD_SIZE, SAMPLE = 32_768, 20_000
-#: Parts in which the members of a large group get their component_id.
-SALTS = 16
+SHARD_SIZE, SAMPLE = 16_384, 20_000
 
 
-def _lanes() -> np.ndarray:
+def lanes_of_bytes() -> np.ndarray:
     """For each byte, its eight bits as eight byte-wide counters in one word."""
     bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
     return np.ascontiguousarray(bits).view(np.uint64)[:, 0]
@@ -48,8 +46,13 @@ def fingerprint_of(text: str | None, lanes: np.ndarray) -> int:
         hashes = np.array(
             [digest(joined[a:b], SEED) for a, b in zip(first, ends[SHINGLE_WORDS - 1 :].tolist())], dtype=">u8"
         )
+    return bits_of(hashes, lanes)
+
+
+def bits_of(hashes: np.ndarray, lanes: np.ndarray) -> int:
+    """The fingerprint of these 64-bit shingle hashes; 0 without any."""
     counts = np.zeros(64, dtype=np.int64)
-    octets = hashes.view(np.uint8).reshape(-1, 8)
+    octets = hashes.astype(">u8", copy=False).view(np.uint8).reshape(-1, 8)
     for i in range(0, len(octets), 255):  # a lane holds 255 at most
         counts += lanes[octets[i : i + 255]].sum(axis=0, dtype=np.uint64).view(np.uint8)
     return int(np.packbits(2 * counts > len(octets)).view(">i8")[0])
@@ -57,17 +60,16 @@ def fingerprint_of(text: str | None, lanes: np.ndarray) -> int:
 
 def _fingerprint_batches(batches):
     worker_state("simhash")
-    lanes = _lanes()
+    lanes = lanes_of_bytes()
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        found = pa.array([fingerprint_of(t.as_py(), lanes) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, found], names=["doc_id", "fp"])
+        found = pa.array([fingerprint_of(t.as_py(), lanes) for t in batch.column(2)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["doc_id", "k", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)``, one row per row of ``docs(doc_id, text)``."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
+    """``(doc_id, k, fp)``, one row per row of ``docs(doc_id, text)``; k is the text's MD5."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("k"), "text").mapInArrow(
+        _fingerprint_batches, "doc_id long, k string, fp long"
     )
 
 
@@ -174,35 +176,101 @@ def link_points(points: np.ndarray, radius: int = RADIUS, leaf: int = 512) -> np
     return np.array([find(i) for i in range(len(points))], dtype=np.int64)
 
 
+def levels_for(n: int, shard_size: int) -> int:
+    """Levels after which shards of ``n`` points hold about ``shard_size``."""
+    return max(0, int(np.ceil(np.log(max(1, n / shard_size)) / np.log(1 / 0.635))))
+
+
+def deal_shards(distinct: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE, sample: int = SAMPLE) -> DataFrame:
+    """``(shard, fp)``: every pair within ``radius`` of the distinct ``(fp)`` meets in a
+    shard, and no shard holds more than twice ``shard_size`` rows.
+
+    The first tree is placed by a sample of the whole; shards that come out too
+    large are parted again by trees placed by samples of their own (one task a
+    shard), round by round.  A shard too dense to be parted by any tree is cut into
+    blocks, whose pairs of blocks become shards.
+    """
+    most = 2 * shard_size
+    n = distinct.count()
+    if n <= most:
+        return distinct.select(F.lit("").alias("shard"), "fp")
+    now, done, sizes = distinct.select(F.lit("").alias("shard"), "fp"), None, {"": n}
+    while sizes:
+        share = F.element_at(F.create_map(*[F.lit(x) for k, m in sizes.items() for x in (k, min(1.0, sample / m))]), F.col("shard"))
+
+        def plant(key, table):
+            import pickle
+
+            shard = key[0].as_py()
+            points = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+            tree = build_tree(np.sort(points), levels_for(sizes[shard], shard_size), radius)
+            return pa.table({"shard": [shard], "tree": [pickle.dumps(tree)]}, schema=pa.schema([("shard", pa.string()), ("tree", pa.binary())]))
+
+        chosen = now.filter(F.pmod(F.xxhash64(F.lit("plant"), "fp"), F.lit(1 << 30)) / float(1 << 30) < share)
+        planted = {r["shard"]: bytes(r["tree"]) for r in chosen.groupBy("shard").applyInArrow(plant, "shard string, tree binary").collect()}
+
+        def deal(batches):
+            import pickle
+
+            trees = {k: pickle.loads(v) for k, v in planted.items()}
+            for batch in batches:
+                shards = np.array(batch.column(0).to_pylist(), dtype=object)
+                points = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                for name in set(shards.tolist()):
+                    own = points[shards == name]
+                    for path, part in _parts(own, name, trees.get(name), sizes[name], radius, shard_size):
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(part)], names=["shard", "fp"])
+
+        dealt = materialize(now.mapInArrow(deal, "shard string, fp long"), "shards")
+        # names of oversized shards come back, one for each 2 * shard_size rows at most; block pairs are final
+        over = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > most) & ~F.col("shard").contains("|"))
+        sizes = {r["shard"]: r["n"] for r in over.collect()}
+        whole = dealt.filter(~F.col("shard").isin(list(sizes))) if sizes else dealt
+        done = whole if done is None else done.unionByName(whole)
+        now = dealt.filter(F.col("shard").isin(list(sizes)))
+    return done
+
+
+def _parts(points: np.ndarray, name: str, tree, size: int, radius: int, shard_size: int):
+    """(shard, points) of one shard's points: by its tree, or by pairs of blocks."""
+    if tree is not None:
+        for path, at in route(points.view(np.uint64), tree, radius):
+            if len(at):
+                yield f"{name}/{path}", points[at]
+        return
+    blocks = -(-size // shard_size) + 1  # blocks vary in size; a pair of them stays in bounds
+    mixed = (points.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    block = (mixed % np.uint64(blocks)).astype(np.int64)
+    for b in np.unique(block):
+        for other in set(range(blocks)) - {int(b)}:
+            yield f"{name}|{min(b, other)}-{max(b, other)}", points[block == b]
+
+
 def near_links(distinct: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE, sample: int = SAMPLE) -> DataFrame:
     """Spanning links ``(a, b)`` between the distinct fingerprints ``(fp)``.
 
-    Only a bounded sample reaches the driver, to place the vantage points of the
-    top levels; every fingerprint is dealt to its shards and compared there.
+    Only trees of vantage points reach the driver; every fingerprint is dealt to its
+    shards and compared there.
     """
-    n = distinct.count()
-    levels = max(0, int(np.ceil(np.log(max(1, n / shard_size)) / np.log(1 / 0.635))))
-    tree = None
-    if levels:
-        drawn = distinct.sample(False, min(1.0, sample / n), 3).limit(2 * sample).toPandas()["fp"]
-        tree = build_tree(drawn.to_numpy(np.int64).view(np.uint64), levels, radius)
-
-    def deal(batches):
-        for batch in batches:
-            points = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for shard, at in route(points.view(np.uint64), tree, radius):
-                if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), shard, np.int64)), pa.array(points[at])], names=["shard", "fp"]
-                    )
 
     def link(table: pa.Table) -> pa.Table:
-        points = table.column("fp").to_numpy().astype(np.int64)
+        points = np.unique(table.column("fp").to_numpy().astype(np.int64))
         root = link_points(points.view(np.uint64), radius)
         at = np.nonzero(root != np.arange(len(points)))[0]
         return pa.table({"a": points[at], "b": points[root[at]]})
 
-    return distinct.mapInArrow(deal, "shard long, fp long").groupBy("shard").applyInArrow(link, "a long, b long")
+    return deal_shards(distinct, radius, shard_size, sample).groupBy("shard").applyInArrow(link, "a long, b long")
+
+
+def _grouped(docs: DataFrame, radius: int) -> DataFrame:
+    """``(doc_id, k, fp, component_id, component_k)`` of every row."""
+    marked = materialize(fingerprints(docs), "fingerprints")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), "k")))
+    nodes = materialize(marked.groupBy("fp").agg(first.alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    owners = with_least(nodes, "fp", near_links(nodes.select("fp"), radius))
+    return hot_join(marked, owners, ["fp"]).select(
+        "doc_id", "k", "fp", F.col("least.id").alias("component_id"), F.col("least.k").alias("component_k")
+    )
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -210,36 +278,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Texts that are null, empty or white space share fingerprint zero and are
     linked like any other.  component_id is the smallest non-null doc_id of the
-    group; repeated rows stay.  Equal fingerprints are one node, so a large group
-    of copies adds rows to the last join only.
+    group (null where all are null); repeated rows stay; texts of any length are
+    read whole; other columns play no part.  Equal fingerprints are one node, and
+    its rows get their component in salted parts.
     """
-    marked = materialize(fingerprints(docs), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    owned = nodes.join(roots, "fp", "left")
-    # a group's minimum is found with partial minima, and goes back to its members by
-    # salted keys; fingerprints without links are their own group
-    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-    least = owned.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
-    owners = (
-        owned.withColumns({"root": F.coalesce("root", "fp"), "salt": F.pmod(F.xxhash64("fp"), F.lit(SALTS))})
-        .join(least.withColumn("salt", F.explode(salts)), ["root", "salt"], "left")
-        .select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    )
-    return marked.join(owners, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, radius).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, all columns.
+    """One document of each group, the smallest (doc_id, MD5 of the text), all columns.
 
-    Rows without a doc_id cannot be named by a group and stay; repeated rows
-    (same doc_id and text) become one.
+    Rows without a doc_id cannot be named by a group and stay; repeated rows (same
+    doc_id and text) become one; different texts under one doc_id are judged apart.
     """
-    lost = near_duplicates(docs, radius).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return keep_named(docs, _grouped(docs, radius))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; see ``near_duplicates``
+    for nulls, empty and long texts, ties and repeated rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

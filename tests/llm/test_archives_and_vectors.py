@@ -1,9 +1,11 @@
 """WARC archives with damage, and nearest neighbours."""
 
+import base64
 import hashlib
 import io
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.llm import ann, warc
@@ -45,12 +47,71 @@ def test_salvage_goes_on_after_damage():
         assert gaps[1][1] == 180_000 + sum(size) + 40
 
 
+def raw_record(i, block, extra=()):
+    return warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:page:{i}>"), *extra], block)
+
+
+def test_headers_of_any_length():
+    long = [("X-Long", "v" * 70_000), ("X-Longer", "w" * 200_000)]
+    parts = [raw_record(i, b"block %d" % i, long) for i in range(3)]
+    for whole in (b"".join(parts), b"".join(map(warc.member, parts))):
+        assert salvage(whole) == ([0, 1, 2], [])
+    assert salvage(b"x" * 10 + b"".join(parts))[0] == [0, 1, 2]
+
+
+def test_a_member_of_many_records():
+    parts = [raw_record(i, b"block %d " % i * 40_000) for i in range(5)]
+    assert salvage(warc.member(b"".join(parts))) == ([0, 1, 2, 3, 4], [])
+    bad = parts[2].replace(b"Content-Length: ", b"Content-Length: 9")
+    packed = warc.member(b"".join([*parts[:2], bad, *parts[3:]]))
+    ids, gaps = salvage(packed + warc.member(parts[0]))
+    a = sum(map(len, parts[:2]))
+    assert ids == [0, 1, 3, 4, 0]
+    assert [(x, y) for x, y, _ in gaps] == [(0, len(packed))] and f"bytes {a} to {a + len(bad)} of" in gaps[0][2]
+    # a member that fails its checksum gives only records that prove themselves
+    sure = [raw_record(i, b"%d" % i * 9000, [("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(b"%d" % i * 9000).digest()).decode())]) for i in range(3)]
+    for group, want in ((sure, [0, 1]), (parts[:3], [])):
+        cut = bytearray(warc.member(b"".join(group)))
+        cut[-5] ^= 255
+        ids, gaps = salvage(bytes(cut))
+        assert ids == want and gaps[0][:2] == (0, len(cut))
+    wrong = raw_record(7, b"abc", [("WARC-Block-Digest", "sha1:" + "A" * 32)])
+    assert salvage(wrong + parts[0])[0] == [0]
+
+
+def test_a_gap_in_own_archives_is_an_error(spark, tmp_path, monkeypatch):
+    written = warc.write_archives
+
+    def damaged(pages, folder):
+        paths = written(pages, folder)
+        system, path = warc.open_fs(paths[0])
+        with system.open_input_file(path) as f:
+            data = bytearray(f.read())
+        data[40] ^= 255
+        with system.open_output_stream(path) as f:
+            f.write(bytes(data))
+        return paths
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with pytest.raises(RuntimeError, match="from byte"):
+        warc.op4_warc(spark, "/root/testdata/sf0.001")
+
+
+def test_hot_digests_without_a_broadcast(spark, monkeypatch):
+    rows = [(i, "u", "x" * 200 if i % 3 else f"{i} " * 60) for i in range(3000)] + [(5000 + i, "u", f"{i * 3} " * 60) for i in range(500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((r.page_id, r.first) for r in warc.plan_records(pages).collect())
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    assert sorted(((r.page_id, r.first) for r in warc.plan_records(pages).collect())) == want
+    assert sum(f is not None for _, f in want) == 1999 + 500
+
+
 def test_pages_round_trip(spark, tmp_path):
     long, other = "x" * 100, "é" * 60
     rows = [(5, "http://a", long), (3, "http://b", long), (9, None, long), (1, "u\r\nv", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (7, "u", other), (8, "u", other), (None, "u", long), (3, "http://b", long)]
     pages = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
     paths = warc.write_archives(pages, str(tmp_path / "w"))
-    got = warc.read_archives(spark, paths).collect()
+    got = warc.followed(warc.read_archives(spark, paths)).collect()
     assert len(got) == len(rows) and not any(r.gap for r in got)
     body = dict((r[0], (r[2] or "").encode()) for r in rows)
     first = {3: None, 5: 3, 9: 3, None: 3, 7: None, 8: 7}

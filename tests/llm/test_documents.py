@@ -8,7 +8,9 @@ import numpy as np
 import xxhash
 
 import corpus_pipeline
-from scriptorium.llm import language_id, packing, quality, simhash
+from scriptorium.llm import language_id, near_copies, packing, quality, simhash
+
+from test_near_copies import plain_least, plain_sets
 
 DATA = "/root/testdata/sf0.001"
 
@@ -117,6 +119,30 @@ def test_links_survive_every_cut(spark):
     assert simhash.near_links(df, shard_size=10**6).count() <= len(points)
 
 
+def test_no_shard_outgrows_its_bound(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    ball = [base[0] ^ np.uint64(1 << a | 1 << b | 1 << c) for a in range(24) for b in range(a) for c in range(b)]  # no tree parts these
+    points = np.unique(np.concatenate([base, ball]).astype(np.uint64)).view(np.int64)
+    df = spark.createDataFrame([(int(x),) for x in points], "fp long").repartition(5)
+    dealt = simhash.deal_shards(df, shard_size=300, sample=200)
+    sizes = [r["count"] for r in dealt.groupBy("shard").count().collect()]
+    assert max(sizes) <= 600 and len(sizes) > 10
+    from scriptorium.llm._components import components
+
+    root = {r.node: r.root for r in components(simhash.near_links(df, shard_size=300, sample=200)).collect()}
+    want = plain_groups(points.tolist(), points.view(np.uint64))
+    assert all(root.get(x, x) == want[x] for x in points.tolist())
+
+
+def test_one_id_with_two_texts_loses_only_copies(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight"
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (6, b, "z"), (5, b, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k string")
+    for keep in (simhash.keep_one, near_copies.keep_one):
+        assert sorted(tuple(r) for r in keep(df).collect()) == [(1, a, "x"), (5, b, "z")]
+
+
 def test_null_ids_group_but_do_not_name(spark):
     df = spark.createDataFrame([(None, "same text here"), (7, "same text here"), (None, "other words in it")], "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
@@ -131,7 +157,7 @@ def test_pipeline_against_plain_stages(spark):
     rows = {i: t for i, t in rows.items() for p in [model.predict([t])[0]] if p[0] != "und" and not p[2]}
     judged = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
     rows = {i: t for i, t in rows.items() if judged[i]}
-    group = plain_groups(list(rows), [plain_fingerprint(t) for t in rows.values()])
+    group = plain_least(plain_sets(rows.items()))  # five-word shingles, similarity 0.8 or more
     rows = {i: t for i, t in rows.items() if group[i] == i}
     got = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in got} == set(rows)
