@@ -158,24 +158,28 @@ class Salvage:
         return self.file.read(n)
 
     def _inflate(self, at: int, end: list[int]):
-        """Content of the member at ``at``, piece by piece; then its end in ``end``."""
+        """Content of the member at ``at``, piece by piece; then its end in ``end``.
+        Where the member breaks, what can still be read comes before the error."""
         d, data = zlib.decompressobj(31), b""
-        try:
-            while not d.eof:
-                if not data:
-                    data = self._at(at, CHUNK)
-                    at += len(data)
-                    if not data and not (piece := d.decompress(b"", 1 << 20)):
-                        raise Broken("the member is cut off")
-                    elif not data:
-                        yield piece
-                        continue
+        while not d.eof:
+            if not data:
+                data = self._at(at, CHUNK)
+                at += len(data)
+            before = d.copy()
+            try:
                 piece = d.decompress(data, 1 << 20)
-                data = d.unconsumed_tail
-                if piece:
-                    yield piece
-        except zlib.error as e:
-            raise Broken(f"gzip: {e}") from e
+            except zlib.error as e:
+                for k in range(len(data)):
+                    try:
+                        yield from filter(None, [before.decompress(data[k : k + 1])])
+                    except zlib.error:
+                        break
+                raise Broken(f"gzip: {e}") from e
+            if not data and not piece:
+                raise Broken("the member is cut off")
+            data = d.unconsumed_tail
+            if piece:
+                yield piece
         end.append(at - len(d.unused_data))
 
     def _member(self, at: int):
