@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import let, words_of
+from ._util import let, materialize, words_of
 
 #: Fixed thresholds of the rules.
 MIN_WORDS = 50
@@ -26,6 +26,7 @@ MAX_DUP_LINES_PER_LINE = 0.5
 MEAN_WORD_CHARS = (2.0, 14.0)
 MAX_UPPER_PER_CHAR = 0.5
 SYMBOLS = r"[#*$%&|<>]"
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -84,18 +85,39 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(words, of))
 
 
+def _free(name: str, taken) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _make_room(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``docs`` with its columns of these names (in any case) renamed: underscores are
+    put behind them until the name is free."""
+    taken = {c.lower() for c in docs.columns} | {n.lower() for n in names}
+    for c in docs.columns:
+        if c.lower() in {n.lower() for n in names}:
+            free = _free(c.lower(), taken)
+            taken.add(free)
+            docs = docs.withColumnRenamed(c, c + free[len(c) :])
+    return docs
+
+
 def text_stats(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
     """Add the base statistics of ``text_col`` under ``prefix`` + name.
 
     A null text counts as an empty one.  Adds: n_words, word_chars (code points
-    in words), n_symbols, n_dup_lines, n_repeat_words, all long.
+    in words), n_symbols, n_dup_lines, n_repeat_words, all long.  A column of
+    ``docs`` that has such a name already keeps its values under that name with an
+    underscore behind it.  Texts of any length are read whole.
     """
-    w = F.col(f"{prefix}words")
-    stats = _stats_of(F.coalesce(F.col(text_col), F.lit("")), w)
+    docs = _make_room(docs, [prefix + n for n in STATISTICS])
+    hidden = _free("words_of_text", {c.lower() for c in docs.columns})
+    stats = _stats_of(F.coalesce(F.col(text_col), F.lit("")), F.col(hidden))
     return (
-        docs.withColumn(f"{prefix}words", words_of(F.col(text_col)))
+        docs.withColumn(hidden, words_of(F.col(text_col)))
         .withColumns({f"{prefix}{n}": c for n, c in stats.items() if n != "text"})
-        .drop(f"{prefix}words")
+        .drop(hidden)
     )
 
 
@@ -125,8 +147,7 @@ RULES: tuple[Rule, ...] = (
 
 
 def _stats_columns(text_col: str, prefix: str) -> dict[str, Column]:
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return {n: F.col(f"{prefix}{n}") for n in names} | {"text": F.coalesce(F.col(text_col), F.lit(""))}
+    return {n: F.col(f"{prefix}{n}") for n in STATISTICS} | {"text": F.coalesce(F.col(text_col), F.lit(""))}
 
 
 def _stats_of(text: Column, words: Column) -> dict[str, Column]:
@@ -146,28 +167,22 @@ def base_failed(s: dict[str, Column]) -> Column:
 
 
 def order_rules(
-    docs: DataFrame,
-    text_col: str = "text",
-    rules: tuple[Rule, ...] = RULES,
-    from_text: bool = False,
-    sample_rows: int = 2000,
-    seed: int = 7,
+    docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7
 ) -> list[dict]:
     """Measure every rule on a sample and sort by rejections per second.
 
-    ``sample_rows`` is the expected size of the sample.  It decides the order
-    alone.  With ``from_text`` a rule's time includes the statistics it needs.
-    Each entry: rule, seconds (per row), rejected (share).
+    A rule's time is that of the statistics it needs, from the text on.
+    ``sample_rows`` is the expected size of the sample, which is drawn in as many
+    tasks as the table has; it decides the order alone.  Each entry: rule, seconds
+    (per row), rejected (share).
     """
     rows = docs.count()
     if not rows:
         return [{"rule": r, "seconds": 0.0, "rejected": 0.0} for r in rules]
-    sample = docs.select(F.col(text_col).alias("text")).sample(False, min(1.0, sample_rows / rows), seed)
-    sample = (sample if from_text else text_stats(sample)).coalesce(4).persist(StorageLevel.MEMORY_AND_DISK)
+    drawn = docs.select(F.col(text_col).alias("text")).sample(False, min(1.0, sample_rows / rows), seed)
+    sample = materialize(drawn.repartition(4), "sample").persist(StorageLevel.MEMORY_AND_DISK)
 
     def rejects(rule: Rule) -> Column:
-        if not from_text:
-            return rule.reject(_stats_columns("text", ""))
         text = F.coalesce("text", F.lit(""))
         return let(words_of(text), lambda w: rule.reject(_stats_of(text, w)))
 
@@ -212,10 +227,13 @@ def judge(docs: DataFrame, text_col: str = "text", prefix: str = "", rules: tupl
     """``docs`` with statistics, ``base_failed`` and ``kept`` added under ``prefix``.
 
     Null and empty texts have no words and fail the base.  Repeated rows are
-    judged alike; other columns pass through (choose a prefix that avoids them).
+    judged alike; other columns pass through, renamed where a name clashes as
+    ``text_stats`` does it.  All statistics are wanted here, so the cascade saves
+    only what its rules add to them; ``keep_good`` leaves out those not needed.
     """
     ordered = [m["rule"] for m in order_rules(docs, text_col, rules)]
     s = _stats_columns(text_col, prefix)
+    docs = _make_room(docs, [f"{prefix}base_failed", f"{prefix}kept"])
     out = text_stats(docs, text_col, prefix).withColumn(f"{prefix}base_failed", base_failed(s))
     return out.withColumn(
         f"{prefix}kept", F.when(F.col(f"{prefix}base_failed"), F.lit(False)).otherwise(cascade(s, ordered))
@@ -226,13 +244,17 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that pass the base and all rules, with the columns of ``docs``.
 
     The words are found once; statistics are computed as far as the cascade goes.
+    Null and empty texts go; repeated rows and all columns are kept as they are;
+    texts of any length are read whole.
     """
-    ordered = [m["rule"] for m in order_rules(docs, text_col, BASE_RULES + RULES, from_text=True)]
+    ordered = [m["rule"] for m in order_rules(docs, text_col, BASE_RULES + RULES)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.filter(let(words_of(text), lambda w: cascade(_stats_of(text, w), ordered)))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every row of ``documents``; see ``judge`` for nulls,
+    empty and long texts, repeated rows and clashing names."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judge(docs).drop("text")
 

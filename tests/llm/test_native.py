@@ -111,6 +111,13 @@ def test_quality_statistics_and_cascade(spark):
     assert quality.judge(df.limit(0)).count() == 0 and quality.keep_good(df.limit(0)).count() == 0
 
 
+def test_clashing_columns_keep_their_values(spark):
+    df = spark.createDataFrame([("a b c", 7, "mine", True, "x")], "text string, n_words int, words string, Kept boolean, n_words_ string")
+    row = quality.judge(df).first().asDict()
+    assert (row["n_words"], row["n_words__"], row["n_words_"], row["words"], row["Kept_"], row["kept"]) == (3, 7, "x", "mine", True, False)
+    assert quality.text_stats(df).first()["words"] == "mine"
+
+
 def test_rule_order_does_not_change_verdicts(spark):
     from pyspark.sql import functions as F
 
