@@ -3,12 +3,13 @@
 Each tree of the forest hashes a vector to a long bit string (signs of random
 projections) and keeps the strings sorted.  A query descends in every tree to its
 longest matching prefix; then all trees ascend together, one bit at a time,
-widening their ranges until enough candidates are in reach.  Candidates are
+widening their ranges until these hold enough entries.  A vector has a vote from
+each tree in whose range it lies; those of most votes are the candidates, and are
 scored exactly, in double precision.
 
 Vectors are dealt to blocks, each with a forest of its own; the query set goes to
 every block, and each block returns its nearest.  No bucket is capped: a range
-that holds many vectors is taken whole.
+that holds many vectors is taken whole, and so are all that tie in votes.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 
 from ._util import materialize
 
-#: Trees, bits of a hash string, and the share of a block to gather as candidates.
-TREES, BITS, SHARE = 96, 32, 0.4
-#: A block of so many distinct vectors or fewer is searched as a whole; a larger one
-#: gathers candidates worth so many at least.
-FLOOR = 2500
+#: Trees, and bits of a hash string.
+TREES, BITS = 300, 24
+#: Entries that the ranges of all trees hold together, for each vector of the block.
+REACH = 8.0
+#: Share of a block taken as candidates, and how many candidates there are at least
+#: for each neighbour wanted (a block with no more is its own candidate set).
+SHARE, LEAST = 0.06, 30
 #: Distinct vectors in a block, query vectors in a group.
 BLOCK, GROUP = 25_000, 20_000
 TOP = 20
@@ -38,16 +41,19 @@ class Forest:
         rng = np.random.default_rng(seed)
         self.planes = rng.standard_normal((vectors.shape[1], trees * bits)).astype(np.float32)
         strings = self.hashes(vectors)
-        self.order = np.argsort(strings, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(strings, self.order.astype(np.int64), axis=0)
+        # one contiguous row a tree
+        self.order = np.argsort(strings.T, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(np.ascontiguousarray(strings.T), self.order.astype(np.int64), axis=1)
 
     def hashes(self, vectors: np.ndarray) -> np.ndarray:
         """(vectors, trees) bit strings as integers, first bit highest."""
-        out = np.zeros((len(vectors), self.trees), dtype=np.uint64)
-        powers = (np.uint64(1) << np.arange(self.bits - 1, -1, -1, dtype=np.uint64))
-        for lo in range(0, len(vectors), 4096):
-            signs = vectors[lo : lo + 4096].astype(np.float32) @ self.planes > 0
-            out[lo : lo + 4096] = signs.reshape(-1, self.trees, self.bits) @ powers
+        out = np.empty((len(vectors), self.trees), dtype=np.uint32)
+        for lo in range(0, len(vectors), 2048):
+            signs = (vectors[lo : lo + 2048].astype(np.float32) @ self.planes > 0).reshape(-1, self.trees, self.bits)
+            octets = np.packbits(signs, axis=2)  # padded with zeros behind
+            whole = np.zeros((*octets.shape[:2], 4), np.uint8)
+            whole[:, :, : octets.shape[2]] = octets
+            out[lo : lo + 2048] = whole.view(">u4")[:, :, 0] >> np.uint32(32 - self.bits)
         return out
 
     def ranges(self, queries: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,48 +67,49 @@ class Forest:
             if not len(todo):
                 break
             shift = np.uint64(self.bits - level)
-            low = (strings[todo] >> shift) << shift
+            low = (strings[todo].astype(np.uint64) >> shift) << shift
             high = low + ((np.uint64(1) << shift) - np.uint64(1))
+            low, high = low.astype(np.uint32), high.astype(np.uint32)
             a, b = np.empty(low.shape, np.int64), np.empty(low.shape, np.int64)
             for t in range(self.trees):
-                a[:, t] = np.searchsorted(self.sorted[:, t], low[:, t], "left")
-                b[:, t] = np.searchsorted(self.sorted[:, t], high[:, t], "right")
+                a[:, t] = np.searchsorted(self.sorted[t], low[:, t], "left")
+                b[:, t] = np.searchsorted(self.sorted[t], high[:, t], "right")
             enough = ((b - a).sum(axis=1) >= wanted) | (level == 0)
             lo[todo[enough]], hi[todo[enough]] = a[enough], b[enough]
             todo = todo[~enough]
         return lo, hi
 
-    def candidates(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Positions of the vectors inside one query's ranges, ascending."""
-        mark = np.zeros(len(self.vectors), dtype=bool)
-        for t in range(self.trees):
-            mark[self.order[lo[t] : hi[t], t]] = True
-        return np.nonzero(mark)[0]
+    def candidates(self, lo: np.ndarray, hi: np.ndarray, wanted: int) -> np.ndarray:
+        """Positions of the ``wanted`` vectors with most votes in one query's ranges, and
+        of all that tie with the last of them; ascending."""
+        held = np.concatenate([row[a:b] for row, a, b in zip(self.order, lo.tolist(), hi.tolist())])
+        votes = np.bincount(held, minlength=len(self.vectors))
+        least = np.partition(votes, len(votes) - wanted)[len(votes) - wanted] if wanted < len(votes) else 0
+        return np.nonzero(votes >= max(1, least))[0]
 
 
-def search(vectors: np.ndarray, queries: np.ndarray, keep: int, share: float = SHARE, trees: int = TREES, bits: int = BITS):
+def search(
+    vectors: np.ndarray, queries: np.ndarray, keep: int, share: float = SHARE, trees: int = TREES, bits: int = BITS, reach: float = REACH, least: int = LEAST
+):
     """For each query, positions and scores of its ``keep`` best in ``vectors``.
 
     Norms vary in inner-product search; one more coordinate makes all norms equal
     and turns the largest product into the smallest angle.  Of equal scores at the
     end of a list all are kept, so later ties can be broken by id.
     """
-    whole = len(vectors) <= FLOOR
-    if not whole:
-        norms = np.linalg.norm(vectors, axis=1)
-        top = norms.max()
-        lifted = np.concatenate([vectors, np.sqrt(np.maximum(0, top * top - norms * norms))[:, None]], axis=1) / top
-        forest = Forest(lifted, trees, bits)
-        raised = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
-    # entries of all trees that amount to the share of distinct vectors, if trees were independent;
-    # over FLOOR vectors that is over 100 for each tree, so the query's own entries can't fill them
-    share = max(share, min(0.999, FLOOR / len(vectors)))
-    wanted = int(np.ceil(-np.log1p(-share) * len(vectors)))
+    n = len(vectors)
+    norms = np.linalg.norm(vectors, axis=1)
+    top = norms.max()
+    lifted = np.concatenate([vectors, np.sqrt(np.maximum(0, top * top - norms * norms))[:, None]], axis=1) / top
+    forest = Forest(lifted, trees, bits)
+    raised = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
+    wanted = min(n, max(int(np.ceil(share * n)), least * keep) + 1)
+    # at the root every tree holds all; below, a vector has ``reach`` votes on average
+    entries = n * trees if wanted == n else int(n * min(trees, max(reach, -2 * np.log1p(-wanted / n)))) + trees
     for at in range(0, len(queries), 1024):
-        if not whole:
-            lo, hi = forest.ranges(raised[at : at + 1024], wanted)
-        for k in range(len(queries[at : at + 1024])):
-            found = np.arange(len(vectors)) if whole else forest.candidates(lo[k], hi[k])
+        lo, hi = forest.ranges(raised[at : at + 1024], entries)
+        for k in range(len(lo)):
+            found = forest.candidates(lo[k], hi[k], wanted)
             scores = vectors[found] @ queries[at + k]
             if len(found) > keep:
                 edge = np.partition(scores, len(found) - keep)[len(found) - keep]
@@ -149,7 +156,8 @@ def nearest(
     ``is_query`` is a condition on vec_id.  Nearest first, ties to the smaller
     vec_id; all candidates where there are fewer.  Rows of one vec_id and one
     vector count once; vectors of another length than the query's are no
-    candidates of it.
+    candidates of it.  Vectors that are null, empty, zero or hold nulls or non-finite
+    components take no part; a query among them has no rows.
     """
     keep = top + 1  # the query itself may be among them
     base = materialize(distinct_vectors(embeddings, keep), "vectors")
@@ -212,5 +220,7 @@ def nearest(
 
 
 def op10_nearest(spark, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th row of ``embeddings``; see ``nearest`` for nulls,
+    odd vectors, ties, repeated rows and small tables."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest(rows, F.col("vec_id") % 20 == 0)

@@ -155,22 +155,35 @@ def test_nearest_with_ties_and_odd_vectors(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_recall_of_a_large_block():
+@pytest.mark.parametrize("scaled", [False, True])
+def test_recall_of_a_large_block(scaled):
+    """A whole block of random vectors, the hardest case: few are scored, nine in ten are found."""
     rng = np.random.default_rng(2)
-    v = rng.normal(size=(12_000, 64))
+    v = rng.normal(size=(ann.BLOCK, 64))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    q = v[:200]
-    hit = 0
-    for k, found, scores in ann.search(v, q, 21):
-        best = set(np.argsort(-(v @ q[k]))[:21].tolist())
-        hit += len(best & set(found.tolist()))
-    assert hit / (200 * 21) >= 0.93
+    if scaled:
+        v *= rng.uniform(0.2, 1, (len(v), 1))
+    q, hit, seen = v[:200], 0, []
+    plain = ann.Forest.candidates
+
+    def counted(self, *args):
+        seen.append(len(plain(self, *args)))
+        return plain(self, *args)
+
+    ann.Forest.candidates = counted
+    try:
+        for k, found, scores in ann.search(v, q, 21):
+            best = set(np.argsort(-(v @ q[k]))[:21].tolist())
+            hit += len(best & set(found.tolist()))
+    finally:
+        ann.Forest.candidates = plain
+    assert hit / (200 * 21) >= 0.96 and np.mean(seen) <= 0.08 * ann.BLOCK
 
 
 def test_ascent_widens_to_everything():
     rng = np.random.default_rng(3)
     forest = ann.Forest(rng.normal(size=(50, 6)), trees=5, bits=16)
     lo, hi = forest.ranges(rng.normal(size=(3, 6)), 10**9)
-    assert (lo == 0).all() and (hi == 50).all()
+    assert (lo == 0).all() and (hi == 50).all() and len(forest.candidates(lo[0], hi[0], 50)) == 50
     lo, hi = forest.ranges(rng.normal(size=(3, 6)), 10)
-    assert ((hi - lo).sum(axis=1) >= 10).all() and len(forest.candidates(lo[0], hi[0])) >= 2
+    assert ((hi - lo).sum(axis=1) >= 10).all() and len(forest.candidates(lo[0], hi[0], 2)) >= 2
