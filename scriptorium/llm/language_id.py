@@ -14,15 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import worker_state
+from ._util import materialize, worker_state
 
 #: Hash buckets of each n-gram order.
 BUCKETS = 1 << 15
-#: Bound of the labelled sample, in documents.
+#: Bound of the labelled sample, in documents, shared evenly by the languages; one
+#: document of a language at least.
 MAX_SAMPLE = 6000
+#: Bytes and texts that are taken apart at once.
+STEP, RUN = 1 << 20, 64
 #: Least difference of scores between the two nearest codewords.
 AMBIGUOUS = 0.02
 UNDETERMINED = "und"
@@ -47,20 +51,45 @@ def codewords(k: int, seed: int = 5) -> np.ndarray:
     return best[1] if best else codewords(k, seed + 1)
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bigram ids, trigram ids, bounds of texts) over one buffer; ids that touch
-    a gap are BUCKETS * 2, which has no weight."""
-    raw = [b" " + t.lower().encode("utf-8", "replace") + b" " for t in texts]
-    buffer = np.frombuffer(b"\0\0".join(raw) + b"\0\0", np.uint8).astype(np.uint32)
-    ends = np.cumsum([len(r) + 2 for r in raw])
+def _bytes(text: str) -> bytes:
+    return b" " + text.lower().encode("utf-8", "replace") + b" \0\0"
+
+
+def _grams(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(bigram ids, trigram ids), one each for every byte but the last two; n-grams
+    that touch a zero byte are 2 * BUCKETS, which has no weight."""
+    buffer = np.frombuffer(raw, np.uint8).astype(np.uint32)
     a, b, c = buffer[:-2], buffer[1:-1], buffer[2:]
-    two = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(17)
-    three = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77) + c * np.uint32(0xC2B2AE3D)) >> np.uint32(17)) + np.uint32(BUCKETS)
+    pair = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)
+    two = pair >> np.uint32(17)
+    three = ((pair + c * np.uint32(0xC2B2AE3D)) >> np.uint32(17)) + np.uint32(BUCKETS)
     none = np.uint32(2 * BUCKETS)
-    two = np.where((a == 0) | (b == 0), none, two)
-    three = np.where((a == 0) | (b == 0) | (c == 0), none, three)
-    starts = np.concatenate([[0], ends[:-1]])
-    return two, three, np.stack([starts, np.minimum(ends, len(two))], axis=1)
+    open_ = (a == 0) | (b == 0)
+    two[open_] = none
+    three[open_ | (c == 0)] = none
+    return two, three
+
+
+def _windows(raw: bytes):
+    """A text's bytes in windows of bounded size that overlap by the two bytes an n-gram needs."""
+    for at in range(0, len(raw) - 2, STEP):
+        yield raw[at : at + STEP + 2]
+
+
+def runs(sizes: list[int]):
+    """Bounds of runs of at most ``RUN`` texts and, but for a single text, ``STEP`` bytes."""
+    lo = size = 0
+    for k, n in enumerate(sizes):
+        if k > lo and (k - lo >= RUN or size + n > STEP):
+            yield lo, k
+            lo, size = k, 0
+        size += n
+    if len(sizes) > lo:
+        yield lo, len(sizes)
+
+
+def sizes_of(texts: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
 
 
 @dataclass
@@ -75,13 +104,12 @@ class Model:
     def margins(self, texts: list[str]) -> np.ndarray:
         """(texts, bits): mean log-odds of each text's n-grams."""
         out = np.zeros((len(texts), self.code.shape[1]))
-        two, three, bounds = _grams(texts)
-        step = 1 << 18
-        for k, (lo, hi) in enumerate(bounds):
-            for at in range(lo, hi, step):  # texts of any length in bounded memory
-                for ids in (two[at : min(hi, at + step)], three[at : min(hi, at + step)]):
+        for k, t in enumerate(texts):
+            raw = _bytes(t)
+            for window in _windows(raw):
+                for ids in _grams(window):
                     out[k] += self.weights[ids].sum(axis=0, dtype=np.float64)
-            out[k] /= max(1, hi - lo)
+            out[k] /= len(raw) - 2
         return out
 
     def losses(self, margins: np.ndarray, scale: float = 4.0) -> np.ndarray:
@@ -106,27 +134,21 @@ class Model:
         return out
 
 
-def fit(texts: list[str], languages: list[str]) -> Model:
-    """Fit on labelled texts: three quarters give the log-odds, the rest the weights."""
-    names = sorted(set(languages))
-    index = {n: i for i, n in enumerate(names)}
+def count_grams(texts, counts: np.ndarray | None = None) -> np.ndarray:
+    """How often each n-gram occurs in the texts, added to ``counts``."""
+    counts = np.zeros(2 * BUCKETS + 1, np.int64) if counts is None else counts
+    for t in texts:
+        for window in _windows(_bytes(t)):
+            for ids in _grams(window):
+                counts += np.bincount(ids, minlength=len(counts))
+    return counts
+
+
+def model_of(names: list[str], counts: np.ndarray) -> Model:
+    """The model for sorted ``names`` from their (languages, n-grams) counts; all bits
+    weigh the same until validation says otherwise."""
     code = codewords(len(names))
-    y = np.array([index[x] for x in languages], dtype=np.int64)
-    counts = np.zeros((len(names), 2 * BUCKETS + 1))
-    seen = np.zeros(len(names), dtype=int)
-    held = []
-    for k, t in enumerate(texts):
-        seen[y[k]] += 1
-        if seen[y[k]] % 4 == 0:
-            held.append(k)
-            continue
-        two, three, _ = _grams([t])
-        for ids in (two, three):
-            np.add.at(counts[y[k]], ids, 1.0) if len(ids) < 512 else counts.__setitem__(
-                y[k], counts[y[k]] + np.bincount(ids, minlength=2 * BUCKETS + 1)
-            )
-    counts = counts[:, :-1]
-    share = np.empty_like(counts)  # of an n-gram within its order, smoothed
+    share = np.empty((len(names), 2 * BUCKETS))  # of an n-gram within its order, smoothed
     for lo in (0, BUCKETS):
         part = counts[:, lo : lo + BUCKETS] + 0.5
         share[:, lo : lo + BUCKETS] = part / part.sum(axis=1, keepdims=True)
@@ -135,51 +157,105 @@ def fit(texts: list[str], languages: list[str]) -> Model:
         on, off = share[code[:, j] > 0], share[code[:, j] < 0]
         if len(on) and len(off):
             weights[:-1, j] = np.log(on.mean(axis=0) / off.mean(axis=0))
-    model = Model(names, code, weights, np.full(code.shape, 1.0 / code.shape[1]))
-    good = np.ones(code.shape)  # right answers, plus one
-    total = np.full((len(names), 1), 2.0)
-    for lo in range(0, len(held), 64):
-        some = held[lo : lo + 64]
-        right = model.margins([texts[k] for k in some]) * code[y[some]] > 0
-        np.add.at(good, y[some], right)
-        np.add.at(total, y[some], 1.0)
-    accuracy = good / total
+    return Model(names, code, weights, np.full(code.shape, 1.0 / code.shape[1]))
+
+
+def right_bits(model: Model, language: str, texts: list[str]) -> np.ndarray:
+    """For how many of the texts each bit's classifier is right."""
+    return (model.margins(texts) * model.code[model.languages.index(language)] > 0).sum(axis=0)
+
+
+def weigh(model: Model, right: np.ndarray, total: np.ndarray) -> Model:
+    """Set the decoding weights from the right answers of each language and bit."""
+    accuracy = (right + 1.0) / (total[:, None] + 2.0)
     model.bit_weights = accuracy / accuracy.sum(axis=1, keepdims=True)
     return model
 
 
+def fit(texts: list[str], languages: list[str]) -> Model:
+    """Fit on labelled texts at hand: of each language three texts of four give the
+    log-odds, the fourth the decoding weights."""
+    names = sorted(set(languages))
+    own = {n: [t for t, x in zip(texts, languages) if x == n] for n in names}
+    counts = [count_grams(t for k, t in enumerate(own[n]) if k % 4 < 3) for n in names]
+    model = model_of(names, np.array(counts).reshape(len(names), -1))
+    held = {n: own[n][3::4] for n in names}
+    return weigh(model, np.array([right_bits(model, n, held[n]) for n in names]), np.array([len(held[n]) for n in names]))
+
+
 def held_out(doc_id) -> F.Column:
     """True where crc32 of the id's decimal text is divisible by five (false for null)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> tuple[list[str], list[str]]:
-    """Whole texts and languages of a bounded, repeatable sample of ``docs(doc_id,
-    text, lang)``, as even between languages as they allow."""
+def labelled_sample(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
+    """``(lang, text, checks)`` of a bounded, repeatable sample of ``docs(doc_id, text,
+    lang)``, as even between languages as they allow; ``checks`` marks every fourth.
+
+    Rows with a null in doc_id, text or lang take no part.  Only the number of rows of
+    each language reaches the driver.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count")).limit(1000).collect()}
-    if not sizes:
-        return [], []
-    each = max(1, max_sample // len(sizes))
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    each = max(1, max_sample // max(1, len(sizes)))
     lot = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))]), F.col("lang"))
-    rows = known.filter(lot < share).select("text", "lang").limit(2 * max_sample).toArrow()
-    texts, langs = rows.column("text").to_pylist(), rows.column("lang").to_pylist()
-    order = sorted(range(len(texts)), key=lambda k: (langs[k], texts[k]))
-    return [texts[k] for k in order], [langs[k] for k in order]
+    pairs = [F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))]
+    share = F.element_at(F.create_map(*pairs), F.col("lang")) if pairs else F.lit(0.0)
+    checks = F.pmod(F.xxhash64(F.lit("checks"), "doc_id"), F.lit(4)) == 0
+    return known.filter(lot < share).select("lang", "text", checks.alias("checks"))
 
 
 def train(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
-    """A model from the rows of ``docs`` that aren't held out."""
-    return fit(*labelled_sample(docs.filter(~held_out(F.col("doc_id"))), max_sample))
+    """A model from the rows of ``docs`` that aren't held out.
+
+    A language's sampled texts are counted in one task, text by text, and its counts
+    alone (half a MB a language) reach the driver; likewise its right answers.
+    """
+    sample = materialize(labelled_sample(docs.filter(~held_out(F.col("doc_id"))), max_sample), "labelled")
+
+    def counted(batches):
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lang, t in zip(langs, texts):
+                counts[lang] = count_grams([t.as_py()], counts.get(lang))
+        for lang, c in counts.items():
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "counts": [c.tobytes()]})
+
+    # a language whose sample is all for checking is known, but without n-grams of its own
+    names = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    if not names:
+        return Model([], np.ones((0, 1), np.int8), np.zeros((2 * BUCKETS + 1, 1), np.float32), np.ones((0, 1)))
+    rows = sample.filter("NOT checks").select("lang", "text").repartition("lang").mapInArrow(counted, "lang string, counts binary").collect()
+    got = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in rows}
+    model = model_of(names, np.array([got.get(n, np.zeros(2 * BUCKETS + 1, np.int64)) for n in names]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: buckets x bits
+
+    def checked(batches):
+        model = shared.value
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lang, t in zip(langs, texts):
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([right_bits(model, lang, [t.as_py()]).tolist()], pa.list_(pa.int64()))], names=["lang", "ok"])
+
+    each = sample.filter("checks").select("lang", "text").mapInArrow(checked, "lang string, ok array<long>")
+    bits = [F.sum(F.get("ok", F.lit(j))).alias(f"b{j}") for j in range(model.code.shape[1])]
+    right, total = np.zeros(model.code.shape), np.zeros(len(names))
+    for r in each.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *bits).collect():
+        k = names.index(r["lang"])
+        right[k], total[k] = [r[f"b{j}"] for j in range(right.shape[1])], r["n"]
+    shared.unpersist()
+    return weigh(model, right, total)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, ambiguous)``, one row per row of ``docs``.
 
-    The prediction uses the whole text alone.  Null texts and texts without a
-    letter are ``und`` with score 0 and count as ambiguous; so does everything
-    where no language was learned.
+    The prediction uses the whole text alone, whatever its length, in bounded memory.
+    Null texts and texts without a letter are ``und`` with score 0 and count as
+    ambiguous; so does everything where no language was learned.  Of equally near
+    codewords the first language in order is named; repeated rows are judged alike;
+    other columns play no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: buckets x bits
 
@@ -187,8 +263,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         worker_state("language")
         model = shared.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
+            for lo, hi in runs(sizes_of(batch.column(2))):
+                part = batch.slice(lo, hi - lo)
                 rows = model.predict(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]],
@@ -201,15 +277,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows whose language is clear, with the columns of ``docs``."""
+    """The rows whose language is clear, with the columns of ``docs``.
+
+    Null texts, texts without a letter and ambiguous ones go; repeated rows stay.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
         worker_state("language")
         model = shared.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
+            for lo, hi in runs(sizes_of(batch.column(at))):
+                part = batch.slice(lo, hi - lo)
                 rows = model.predict(part.column(at).to_pylist())
                 yield part.filter(pa.array([r[0] != UNDETERMINED and not r[2] for r in rows], pa.bool_()))
 
@@ -217,5 +296,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
+    """Language of every row of ``documents``; see ``identify`` for nulls, empty and
+    long texts, ties and repeated rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, train(docs))

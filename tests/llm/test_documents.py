@@ -55,6 +55,60 @@ def test_language_id_edges(spark):
     assert even.predict(["abc abc"])[0][2]  # two equal languages: ambiguous
 
 
+def plain_decode(model, text):
+    """Language, score and flag of one text, straight from the definition."""
+    import math
+
+    raw = [0x20, *text.lower().encode(), 0x20]
+    margins = []
+    for j in range(model.code.shape[1]):
+        total = 0.0
+        for i in range(len(raw) - 1):
+            pair = raw[i] * 0x9E3779B1 + raw[i + 1] * 0x85EBCA77
+            total += float(model.weights[pair % 2**32 >> 17, j])
+            if i + 2 < len(raw):
+                total += float(model.weights[language_id.BUCKETS + ((pair + raw[i + 2] * 0xC2B2AE3D) % 2**32 >> 17), j])
+        margins.append(total / len(raw))
+    loss = [sum(w * math.log1p(math.exp(-c * m * 4)) for w, c, m in zip(ws, cs, margins)) * 4 for ws, cs in zip(model.bit_weights.tolist(), model.code.tolist())]
+    shares = [math.exp(min(loss) - x) for x in loss]
+    shares = [x / sum(shares) for x in shares]
+    first, second = sorted(shares, reverse=True)[:2]
+    return model.languages[shares.index(first)], first, first - second < language_id.AMBIGUOUS
+
+
+def test_decoding_equals_the_definition(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language_id.train(docs)
+    texts = [r.text for r in docs.limit(60).collect()] + ["a", "\u00c9t\u00e9 \U0001f600", "1a", "x" * 300]
+    monkeypatch.setattr(language_id, "STEP", 37)  # windows must not change a result
+    for t, (lang, score, flag) in zip(texts, model.predict(texts)):
+        want = plain_decode(model, t)
+        assert (lang, flag) == (want[0], want[2]) and abs(score - want[1]) < 1e-6
+    assert [b for b in language_id.runs([10, 10, 20, 50, 1, 1])] == [(0, 2), (2, 3), (3, 4), (4, 6)]
+
+
+def test_training_counts_equal_plain_counts(spark):
+    rows = [(i, t, "de" if i % 3 else "en") for i, t in enumerate(["Abc abd", "xyz\u00e4", "", "abc"] * 30)]
+    docs = spark.createDataFrame(rows + [(None, "abc", "en"), (200, None, "en"), (201, "abc", None)], "doc_id long, text string, lang string").repartition(3)
+    sample = [tuple(r) for r in language_id.labelled_sample(docs.filter(~language_id.held_out(docs.doc_id))).collect()]
+    assert sorted(t[:2] for t in sample) == sorted((x, t) for i, t, x in rows if zlib.crc32(str(i).encode()) % 5)
+    model = language_id.train(docs)
+    counts = {}
+    for lang in ("de", "en"):
+        own = counts[lang] = np.zeros(2 * language_id.BUCKETS)
+        for x, t, checks in sample:
+            raw = [0x20, *t.lower().encode(), 0x20]
+            for i in range(len(raw) - 1) if x == lang and not checks else ():
+                pair = raw[i] * 0x9E3779B1 + raw[i + 1] * 0x85EBCA77
+                own[pair % 2**32 >> 17] += 1
+                if i + 2 < len(raw):
+                    own[language_id.BUCKETS + ((pair + raw[i + 2] * 0xC2B2AE3D) % 2**32 >> 17)] += 1
+    b = language_id.BUCKETS
+    share = {k: np.concatenate([(c[:b] + 0.5) / (c[:b] + 0.5).sum(), (c[b:] + 0.5) / (c[b:] + 0.5).sum()]) for k, c in counts.items()}
+    assert model.languages == ["de", "en"] and model.code.tolist() == [[1], [-1]]
+    assert np.allclose(model.weights[:-1, 0], np.log(share["de"] / share["en"]), atol=1e-5)
+
+
 def plain_fingerprint(text):
     b = bytes(x + 32 if 65 <= x <= 90 else x for x in (text or "").encode())
     w = re.findall(rb"[^\x20\x09-\x0D]+", b)
