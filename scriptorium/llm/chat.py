@@ -15,94 +15,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns that are ordered and summed as one block, and rendered into one row.
+from ._util import materialize
+
+#: Turns rendered into one row.
 BLOCK_TURNS = 256
+_ORDER = ("conv_id", "turn", "role", "text")
 
 
-def _digest(seed: int) -> Column:
-    return F.xxhash64(
-        F.lit(seed),
-        "ord",
-        F.col("role").isNull(),
-        F.coalesce("role", F.lit("")),
-        F.col("text").isNull(),
-        F.coalesce("text", F.lit("")),
-    )
+def _content(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
 
 
 def _same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
-def numbered_turns(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """``(conv_id, ord, role, text)`` with the ordinal of a turn in its conversation.
+def ordered_turns(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, role, text, at, run, e1, e2)``: the turns in order, written once.
 
-    Ordinals are numbered within blocks of turn values, then shifted by the
-    counts of earlier blocks: a conversation of any length is spread over tasks.
+    Turns are sorted over all tasks by ranges, so a conversation of any length, even
+    one whose turns all tie, is spread; ``run`` numbers the ranges, ``at`` rises by
+    one from turn to turn of a range; e1 and e2 are digests of role and text.
     """
-    turns = conversations.select("conv_id", "turn", "role", "text").withColumn(
-        "block", F.floor(F.col("turn") / block_turns)
-    )
-    order = Window.partitionBy("conv_id", "block").orderBy(
-        F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()
-    )
-    within = turns.withColumn("rn", F.row_number().over(order))
-    earlier = Window.partitionBy("c").orderBy(F.col("b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        turns.groupBy(F.col("conv_id").alias("c"), F.col("block").alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("c", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
-    )
-    return within.join(shifts, _same("conv_id", "c") & _same("block", "b")).select(
-        "conv_id", (F.col("shift") + F.col("rn")).alias("ord"), "role", "text"
+    order = [F.col(c).asc_nulls_first() for c in _ORDER]
+    turns = conversations.select(*_ORDER).repartitionByRange(*order).sortWithinPartitions(*order)
+    turns = turns.select("conv_id", "role", "text", F.monotonically_increasing_id().alias("at"), _content(1).alias("e1"), _content(2).alias("e2"))
+    return materialize(turns.withColumn("run", F.shiftright("at", 33)), "turns")
+
+
+def conversation_runs(turns: DataFrame) -> DataFrame:
+    """``(c, r, first, shift, n_turns)``: for each conversation and range, the first
+    ``at``, the turns in earlier ranges, and the turns of the whole conversation."""
+    runs = turns.groupBy(F.col("conv_id").alias("c"), F.col("run").alias("r")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("c").orderBy("r")
+    earlier, rest = whole.rowsBetween(Window.unboundedPreceding, -1), whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return materialize(
+        runs.select("c", "r", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"), F.sum("n").over(rest).alias("n_turns")), "runs"
     )
 
 
-def prefix_hashes(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """``(conv_id, ord, h1, h2)``: a 128-bit rolling hash of the first ``ord`` turns.
+def prefix_hashes(turns: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(conv_id, ord, n_turns, h1, h2)``: a 128-bit rolling hash of the first ``ord``
+    turns of each conversation.
 
     The hash of a prefix is the running sum, modulo 2^64 each, of two digests of
-    (ordinal, role, text); sums of blocks are carried over, as the ordinals are.
+    (ordinal, role, text); sums of earlier ranges are carried over.
     """
-    blocks = turns.select("conv_id", "ord", F.floor((F.col("ord") - 1) / block_turns).alias("block"), _digest(1).alias("d1"), _digest(2).alias("d2"))
+    numbered = turns.join(runs, _same("conv_id", "c") & (F.col("run") == F.col("r")))
+    place = F.col("at") - F.col("first") + F.col("shift") + 1
     # decimals hold the sums without overflow
-    wide = blocks.withColumns({d: F.col(d).cast("decimal(20,0)") for d in ("d1", "d2")})
-    within = Window.partitionBy("conv_id", "block").orderBy("ord")
-    running = wide.withColumns({f"s{i}": F.sum(f"d{i}").over(within) for i in (1, 2)})
-    earlier = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        wide.groupBy(F.col("conv_id").alias("c"), F.col("block").alias("b"))
-        .agg(F.sum("d1").alias("t1"), F.sum("d2").alias("t2"))
-        .select("c", "b", *[F.coalesce(F.sum(f"t{i}").over(earlier), F.lit(0)).alias(f"t{i}") for i in (1, 2)])
-    )
+    wide = numbered.select("conv_id", "run", place.alias("ord"), "n_turns", *[F.xxhash64(place, f"e{i}").cast("decimal(20,0)").alias(f"d{i}") for i in (1, 2)])
+    within = Window.partitionBy("conv_id", "run").orderBy("ord")
+    summed = materialize(wide.select("conv_id", "run", "ord", "n_turns", *[F.sum(f"d{i}").over(within).alias(f"s{i}") for i in (1, 2)]), "sums")
+    earlier = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = summed.groupBy(F.col("conv_id").alias("c"), F.col("run").alias("r")).agg(F.max(F.struct("ord", "s1", "s2")).alias("t"))
+    carried = totals.select("c", "r", *[F.sum(f"t.s{i}").over(earlier).alias(f"t{i}") for i in (1, 2)]).filter(F.col("t1").isNotNull())
     modulus = F.lit("18446744073709551616").cast("decimal(20,0)")
-    return running.join(carried, _same("conv_id", "c") & (F.col("block") == F.col("b"))).select(
-        "conv_id",
-        "ord",
-        *[F.pmod((F.col(f"s{i}") + F.col(f"t{i}")).cast("decimal(38,0)"), modulus).alias(f"h{i}") for i in (1, 2)],
+    whole = lambda i: F.pmod((F.col(f"s{i}") + F.coalesce(f"t{i}", F.lit(0))).cast("decimal(38,0)"), modulus)
+    # only conversations of several ranges have anything to carry
+    return summed.join(carried, _same("conv_id", "c") & (F.col("run") == F.col("r")), "left").select(
+        "conv_id", "ord", "n_turns", *[whole(i).alias(f"h{i}") for i in (1, 2)]
     )
 
 
-def maximal_conversations(turns: DataFrame) -> DataFrame:
+def maximal_conversations(prefixes: DataFrame) -> DataFrame:
     """``(conv_id, n_turns, copies)`` of the conversations that no other extends.
 
     ``copies`` counts the equal conversations that ``conv_id``, the smallest of
     them, stands for.
     """
-    prefixes = prefix_hashes(turns)
-    last = prefixes.groupBy("conv_id").agg(F.max(F.struct("ord", "h1", "h2")).alias("whole"))
-    wholes = last.groupBy("whole.ord", "whole.h1", "whole.h2").agg(
-        F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies")
-    )
-    proper = (
-        prefixes.join(last.select(F.col("conv_id").alias("c"), F.col("whole.ord").alias("n")), _same("conv_id", "c"))
-        .filter(F.col("ord") < F.col("n"))
-        .select("ord", "h1", "h2")
-        .distinct()
-    )
-    return wholes.join(proper, ["ord", "h1", "h2"], "left_anti").select(
-        "conv_id", F.col("ord").alias("n_turns"), "copies"
-    )
+    wholes = prefixes.filter("ord = n_turns").groupBy("ord", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
+    proper = prefixes.filter("ord < n_turns").select("ord", "h1", "h2").distinct()
+    return wholes.join(proper, ["ord", "h1", "h2"], "left_anti").select("conv_id", F.col("ord").alias("n_turns"), "copies")
 
 
 def render_turn(role: Column, text: Column) -> Column:
@@ -116,14 +100,17 @@ def format_chats(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> Da
     A conversation is one row, unless it has over ``block_turns`` turns: then its
     parts, numbered from 0, are to be concatenated.  No row grows without bound.
     """
-    turns = numbered_turns(conversations, block_turns)
-    kept = maximal_conversations(turns).withColumnRenamed("conv_id", "c")
-    pieces = turns.join(kept, _same("conv_id", "c")).select(
+    turns = ordered_turns(conversations)
+    runs = conversation_runs(turns)
+    kept = maximal_conversations(prefix_hashes(turns, runs)).select(F.col("conv_id").alias("k"), "copies")
+    wanted = runs.join(kept, _same("c", "k")).drop("k")
+    place = F.col("at") - F.col("first") + F.col("shift")  # from 0
+    pieces = turns.join(wanted, _same("conv_id", "c") & (F.col("run") == F.col("r"))).select(
         "conv_id",
-        F.floor((F.col("ord") - 1) / block_turns).alias("part"),
+        F.floor(place / block_turns).alias("part"),
         "n_turns",
         "copies",
-        F.struct("ord", render_turn(F.col("role"), F.col("text")).alias("piece")).alias("p"),
+        F.struct("at", render_turn(F.col("role"), F.col("text")).alias("piece")).alias("p"),
     )
     return pieces.groupBy("conv_id", "part", "n_turns", "copies").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("rendered")
@@ -131,18 +118,20 @@ def format_chats(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> Da
 
 
 def op5_chat_formatting(spark, sf_dir: str) -> DataFrame:
+    """All maximal conversations of ``conversations``, rendered in parts of 256 turns."""
     return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 OP5_SQL = r"""
 WITH t AS (SELECT conv_id, role, text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ord FROM conversations),
-l AS (SELECT conv_id, list(coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n') || chr(2) ORDER BY ord) AS turns,
-    string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY ord) AS rendered
-  FROM t GROUP BY conv_id),
-p AS (SELECT conv_id, k, md5(array_to_string(turns[1:k], '')) AS h FROM (SELECT conv_id, turns, unnest(range(1, len(turns) + 1)) AS k FROM l)),
-w AS (SELECT k, h, min(conv_id) AS conv_id, count(*) AS copies FROM p JOIN l USING (conv_id) WHERE k = len(turns) GROUP BY k, h),
-q AS (SELECT DISTINCT k, h FROM p JOIN l USING (conv_id) WHERE k < len(turns))
-SELECT w.conv_id, 0::BIGINT AS part, w.k AS n_turns, copies, rendered
-FROM w JOIN l USING (conv_id) WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.k = w.k AND q.h = w.h)
+l AS (SELECT conv_id, list(coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n') || chr(2) ORDER BY ord) AS turns FROM t GROUP BY conv_id),
+s AS (SELECT conv_id, (ord - 1) // 256 AS part, string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY ord) AS rendered
+  FROM t GROUP BY conv_id, part),
+p AS (SELECT conv_id, k, n, md5(array_to_string(turns[1:k], '')) AS h
+  FROM (SELECT conv_id, turns, len(turns) AS n, unnest(range(1, len(turns) + 1)) AS k FROM l)),
+w AS (SELECT k, h, min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE k = n GROUP BY k, h),
+q AS (SELECT DISTINCT k, h FROM p WHERE k < n)
+SELECT w.conv_id, part::BIGINT AS part, w.k AS n_turns, copies, rendered
+FROM w JOIN s ON w.conv_id IS NOT DISTINCT FROM s.conv_id WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.k = w.k AND q.h = w.h)
 """

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._util import hot_join, materialize
+
 #: Host of an absolute URL, without user, port, path; lower case.
 _HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _SEGMENT = r"^[a-z][a-z0-9+.\-]*://[^/?#]*/([^/?#]+)"
@@ -62,43 +64,43 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return daily.withColumn("valid_to", following).filter(F.col("action").isin("allow", "block"))
 
 
-def judge(captures: DataFrame, entries: DataFrame, salts: int = 8) -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Captures ``(page_id, url, fetched_on)`` with the verdict of the lists.
 
     Adds host, verdict (``allow``, ``block`` or ``none``), matched (the deciding
     pattern or null) and listed_since.  The longest active pattern decides; a
     host/segment pattern is longer than its host.  A null or malformed URL and
-    a null fetch date match nothing.  Repeated captures keep their rows.
+    a null fetch date match nothing.  Repeated captures keep their rows; URLs of any
+    length are read whole; other columns are left out.
 
-    Captures are first reduced to distinct (host, segment, date) probes, so a
-    hot host costs one probe for each of its dates and segments; ``salts``
-    spreads the probes of a pattern, whose few intervals are repeated that
-    often.  The probes, not the captures, meet the lists.
+    Each distinct (host, segment) looks up the intervals of its patterns once (a
+    pattern has one interval a date at most), and the captures are joined to those,
+    as of their dates.  A hot suffix, listed or not, and a hot host stay unshuffled.
     """
     seen = captures.select("page_id", "url", "fetched_on").withColumns(
         {"host": host_of(F.col("url")), "segment": segment_of(F.col("url"))}
     )
-    probes = seen.filter(F.col("fetched_on").isNotNull() & (F.col("host") != "")).select(
-        "host", "segment", "fetched_on"
-    ).distinct()
-    keyed = probes.withColumns(
-        {
-            "pattern": F.explode(_patterns(F.col("host"), F.col("segment"))),
-            "salt": F.pmod(F.xxhash64("host", "segment", "fetched_on"), F.lit(salts)),
-        }
-    )
-    spans = validity_intervals(entries).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    active = keyed.join(spans, ["pattern", "salt"]).filter(
-        (F.col("valid_from") <= F.col("fetched_on"))
-        & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to")))
+    sites = materialize(seen.groupBy("host", "segment").agg(F.count(F.lit(1)).alias("n")), "sites")
+    keyed = sites.select("host", "segment", F.explode(_patterns(F.col("host"), F.col("segment"))).alias("pattern"))
+    spans = validity_intervals(entries).groupBy("pattern").agg(F.collect_list(F.struct("valid_from", "valid_to", "action")).alias("spans"))
+    listed = materialize(keyed.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).join(spans, "pattern", "left"), "listed")
+    covers = (
+        hot_join(keyed, listed, ["pattern"], "inner")
+        .filter(F.col("spans").isNotNull())
+        .groupBy("host", "segment")
+        .agg(F.collect_list(F.struct("pattern", "spans")).alias("covers"))
     )
-    best = active.groupBy("host", "segment", "fetched_on").agg(
-        F.max(F.struct(F.length("pattern").alias("size"), "pattern", "action", "valid_from")).alias("best")
-    )
-    joined = seen.join(best, ["host", "segment", "fetched_on"], "left")
-    return joined.select(
+    joined = hot_join(seen, materialize(sites.join(covers, ["host", "segment"], "left"), "covers"), ["host", "segment"])
+
+    def active(cover: Column) -> Column:
+        """The intervals of one pattern that hold the capture's date."""
+        holds = lambda x: (x["valid_from"] <= F.col("fetched_on")) & (x["valid_to"].isNull() | (F.col("fetched_on") < x["valid_to"]))
+        return F.transform(
+            F.filter(cover["spans"], holds),
+            lambda x: F.struct(F.length(cover["pattern"]).alias("size"), cover["pattern"].alias("pattern"), x["action"].alias("action"), x["valid_from"].alias("valid_from")),
+        )
+
+    return joined.withColumn("best", F.array_max(F.flatten(F.transform("covers", active)))).select(
         "page_id",
         "url",
         "fetched_on",
@@ -109,9 +111,9 @@ def judge(captures: DataFrame, entries: DataFrame, salts: int = 8) -> DataFrame:
     )
 
 
-def keep_allowed(captures: DataFrame, entries: DataFrame, salts: int = 8) -> DataFrame:
+def keep_allowed(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """The judged captures that no active entry blocks."""
-    return judge(captures, entries, salts).filter(F.col("verdict") != "block")
+    return judge(captures, entries).filter(F.col("verdict") != "block")
 
 
 def _nibble(value: Column, at: int) -> Column:
@@ -152,7 +154,8 @@ def published_list(urls: DataFrame) -> DataFrame:
 
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:
-    """Every page as a capture; its fetch date is a fixed function of page_id."""
+    """Every page as a capture; its fetch date is a fixed function of page_id.  See
+    ``judge`` for nulls, malformed and long URLs, ties and repeated rows."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(500)).cast("int"))
     return judge(pages.withColumn("fetched_on", fetched), published_list(pages))

@@ -80,6 +80,37 @@ def test_snapshots_collapse(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_conversations_equal_sql(spark):
+    """Parts, carried sums and the SQL on conversations of more than 256 turns, some of one turn number."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(8)
+    rows = [(c, t if c % 2 else 5, rng.choice(["user", None]), f"{t % 50}") for c in range(6) for t in range(300 + 90 * c)]
+    rows += [(c + 10, t, r, x) for c, t, r, x in rows if c in (1, 3) and t < 280]  # cut copies
+    rows += [(None, t, "user", f"lone {t}") for t in range(600)]
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"})  # noqa: F841
+    want = sorted(map(str, duckdb.sql(chat.OP5_SQL).fetchall()))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = chat.format_chats(df).select("conv_id", "part", "n_turns", "copies", "rendered").collect()
+    assert sorted(str(tuple(r)) for r in got) == want and {r.conv_id for r in got} == {*range(6), None}
+
+
+def test_hot_hosts_and_suffixes(spark, monkeypatch):
+    from scriptorium.llm import _util
+
+    rows = [(i, f"http://{'hot' if i % 3 else f'h{i}'}.example.com/{i % 5}", DAY(2024, 1, 1 + i % 28)) for i in range(6000)] + [(9000 + i, None, DAY(2024, 1, 1)) for i in range(3000)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_on date")
+    entries = spark.createDataFrame(
+        [("hot.example.com", "block", DAY(2024, 1, 5)), ("example.com", "allow", DAY(2024, 1, 9)), ("hot.example.com/2", "clear", DAY(2024, 1, 1)), ("com", "block", DAY(2024, 1, 20)), ("hot.example.com", "clear", DAY(2024, 1, 25))],
+        "pattern string, action string, effective_on date",
+    )
+    want = sorted(map(str, url_filters.judge(captures, entries).collect()))
+    monkeypatch.setattr(_util, "HOT_KEYS", 1)  # no key counts as hot
+    assert sorted(map(str, url_filters.judge(captures, entries).collect())) == want
+    assert sum("'block'" in x for x in want) > 2000 and sum("'allow'" in x for x in want) > 1000
+
+
 def plain_stats(text):
     import re
 
