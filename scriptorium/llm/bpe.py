@@ -227,7 +227,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bo
 
     Gives doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas),
     decoded_sha256 (of the bytes decoded from the ids), and the ids on demand.  A
-    null text is empty: no ids, and both digests are those of nothing.
+    null text is empty: no ids, and both digests are those of nothing.  Texts of any
+    length are encoded whole; repeated rows keep their rows; other columns play no part.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -258,4 +259,6 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bo
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` encoded and decoded; see ``encode_documents`` for
+    nulls, empty and long texts and repeated rows."""
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

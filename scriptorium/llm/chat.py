@@ -98,7 +98,8 @@ def format_chats(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> Da
     """``(conv_id, part, n_turns, copies, rendered)`` of the maximal conversations.
 
     A conversation is one row, unless it has over ``block_turns`` turns: then its
-    parts, numbered from 0, are to be concatenated.  No row grows without bound.
+    parts, numbered from 0, are to be concatenated, so no row has more turns.  Texts
+    of any length are kept whole; other columns play no part.
     """
     turns = ordered_turns(conversations)
     runs = conversation_runs(turns)

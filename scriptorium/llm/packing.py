@@ -110,8 +110,10 @@ def pack_documents(
     """Pieces of all rows of ``docs(doc_id, text)``; each id lies in exactly one.
 
     A null text is empty and still has its end id.  Repeated rows are packed as
-    separate documents; a null doc_id stays null.  With ``with_ids`` the ids of a
-    piece follow as an array.  sequence_id is the partition's number, then the
+    separate documents; a null doc_id stays null.  A text of any length is encoded
+    whole and cut into as many pieces as it takes; other columns play no part; pieces
+    of one cost are placed in order of doc_id.  With ``with_ids`` the ids of a piece
+    follow as an array.  sequence_id is the partition's number, then the
     number of the sequence in it.
     """
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
@@ -158,4 +160,6 @@ def pack_documents(
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of every row of ``documents``; see ``pack_documents`` for nulls, empty
+    and long texts, ties and repeated rows."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

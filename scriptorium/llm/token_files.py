@@ -9,7 +9,9 @@ format (magic 0x184D2A5E: compressed size, content size, checksum of each frame;
 then the number of frames, a descriptor byte and 0x8F92EAB1).  The checksum is
 the low half of the XXH64 of a frame's content.
 
-Readers fetch the tail, choose frames, and decompress those alone.
+Readers fetch the tail, choose frames, and decompress those alone.  The public
+format counts a frame's content in 32 bits, and a document lies in one frame, so a
+document has 2^30 - 8 ids at most; a longer one raises an error.
 """
 
 from __future__ import annotations
@@ -62,6 +64,11 @@ def write_frames(documents, frame_ids: int = FRAME_IDS, level: int = LEVEL):
 
     size = 0
     for d, b in documents:
+        if len(b) + _DOC_SIZE + 4 >= 1 << 32:
+            raise ValueError(f"document {d} has {len(b) // 4} ids, more than a frame can count")
+        if held and 4 * size + len(b) + _DOC_SIZE * (len(held) + 1) + 4 >= 1 << 32:
+            yield frame()
+            held, size = [], 0
         held.append((d, b))
         size += len(b) // 4
         if size >= frame_ids:
@@ -149,7 +156,8 @@ def write_token_files(
 
     Returns the manifest in that order: path, documents, ids.  A null text is
     empty; null doc_ids come first; rows of one doc_id are ordered by a hash of
-    their text, and may span files.  Each task writes one file and moves it to
+    their text, and may span files.  Texts of any length are encoded whole; other
+    columns play no part.  Each task writes one file and moves it to
     its final name, so a repeated task replaces it by the same bytes.
     """
     spark = docs.sparkSession
@@ -187,8 +195,9 @@ def write_token_files(
 def read_token_files(spark, manifest: list[dict], with_ids: bool = False) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document in the files.
 
-    start counts the ids of all documents before it.  One task reads one file,
-    frame by frame.
+    start counts the ids of all documents before it; documents come as they were
+    written, nulls and repeats included.  One task reads one file, frame by frame; a
+    frame that fails its checksum raises ``Corrupt``.
     """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     rows, base = [], 0
@@ -223,5 +232,7 @@ def read_token_files(spark, manifest: list[dict], with_ids: bool = False) -> Dat
 
 
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
+    """Ids of every row of ``documents``, written to token files and read back; see
+    ``write_token_files`` for nulls, empty and long texts, ties and repeated rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return read_token_files(spark, write_token_files(docs, new_path(spark, "token-files")))
