@@ -17,23 +17,28 @@ from scriptorium.llm.quality import keep_good
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; undetermined and ambiguous ones go."""
+    """Documents whose language is clear; undetermined ones (null and empty texts among
+    them) and ambiguous ones go.  Repeated rows stay; texts are read whole."""
     return keep_identified(docs, train(docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base and every rule of the cascade."""
+    """Documents that pass the base and every rule of the cascade; null and empty texts
+    fail the base.  Repeated rows are judged alike; texts are read whole."""
     return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of smallest doc_id: five-word
-    shingle sets of Jaccard similarity 0.8 or more."""
+    shingle sets of Jaccard similarity 0.8 or more, found by the SimHash operator's
+    groups and, beyond its reach, by bands.  Rows without a doc_id stay; repeated rows
+    become one; of several texts under one doc_id only copies go."""
     return keep_one(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents in sequences of at most 1024 tokens."""
+    """Pieces of the kept documents in sequences of at most 1024 tokens; repeated rows are
+    packed apart, a null doc_id stays null, an empty text has its end id."""
     return pack_documents(docs)
 
 
