@@ -7,11 +7,14 @@ set are one node.
 Buckets come from the SimHash operator, run on five-word shingles (a group of
 fingerprints within 3 bits, found by its vantage-point trees, is a bucket), and,
 because pairs at 0.8 lie some 10 bits apart, where no vantage-point tree prunes,
-from MinHash bands.  A bucket's nodes are compared with its smallest node, those
-not linked to it with their smallest again, and what is then in different
-components pair by pair, where sizes and fingerprints allow it.  Every link is
-checked on whole shingle sets, so nothing dissimilar is linked; of pairs at 0.8
-about 4 in 10 000 share no band, of more similar ones fewer.
+from MinHash bands.  A bucket's nodes are compared with its hub, the node that shares
+most buckets with others (the original of edited copies, say), those not joined to
+it with the hub among themselves.  What is then in different components is compared
+where it has to be: a pair at 0.8 shares one of its rarest fifth of shingles (a
+shingle in ``RARE`` nodes at most pairs few), or else has only frequent ones in
+common, and then enough of these on both sides.  Pairs whose sizes, fingerprints or signatures are too far apart for 0.8 are
+left out first; every link is checked on whole shingle sets, so nothing dissimilar is
+linked.  Of pairs at 0.8 about 4 in 10 000 share no band, of more similar ones fewer.
 """
 
 from __future__ import annotations
@@ -28,8 +31,12 @@ from .simhash import bits_of, lanes_of_bytes, near_links
 SHINGLE_WORDS, SIMILAR, SEED = 5, 0.8, 42
 #: Bands, and minimum hashes in a band.
 BANDS, ROWS = 20, 5
-#: Rounds of comparing with a bucket's smallest node before pairs are compared.
+#: Rounds of comparing with a bucket's hub before pairs are compared.
 STARS = 2
+#: Of 100 minimum hashes a pair at 0.8 shares 80, give or take 4; with fewer than this none is compared.
+AGREE = 60
+#: Nodes in which a shingle counts as rare.
+RARE = 50
 #: Fingerprints of a pair at 0.8 differ in 10 bits of 64, give or take 3; beyond this no pair is compared.
 MOST_BITS = 24
 
@@ -50,15 +57,18 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(first, ends[SHINGLE_WORDS - 1 :].tolist())], np.uint64))
 
 
-def band_keys(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """One key a band; none for a text without words."""
-    import xxhash
-
-    if not len(hashes):
-        return np.empty(0, np.int64)
+def least_hashes(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The minimum of each hash function; a text without words has the greatest number."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(hashes), 2048):
         np.minimum(least, (factors[0][:, None] * hashes[lo : lo + 2048] + factors[1][:, None]).min(axis=1), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One key a band."""
+    import xxhash
+
     keys = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
     return np.array(keys, np.uint64).view(np.int64)
 
@@ -75,15 +85,17 @@ def _sketch_batches(batches):
     worker_state("near_copies")
     factors, lanes = random_factors(), lanes_of_bytes()
     for batch in batches:
-        nodes, keys, prints, sizes = [], [], [], []
+        nodes, keys, prints, sizes, sigs = [], [], [], [], []
         for t in batch.column(2):
             h = shingles(t.as_py())
             nodes.append(xxhash.xxh3_64_intdigest(h.tobytes(), SEED))
-            keys.append(band_keys(h, factors))
+            least = least_hashes(h, factors)
+            keys.append(band_keys(least))
+            sigs.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
             prints.append(bits_of(h, lanes))
             sizes.append(len(h))
-        found = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["doc_id", "k", "node", "bands", "fp", "size"])
+        found = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["doc_id", "k", "node", "bands", "fp", "size", "sig"])
 
 
 def _similar_batches(batches):
@@ -108,62 +120,130 @@ def _possible(left: str, right: str):
     return (F.least(a, b) >= SIMILAR * F.greatest(a, b)) & near
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """Links ``(a, b)`` between ``nodes(node, k, bands, fp, size)``, whose texts are
-    those of ``docs`` with digest k; None where no bucket holds two."""
-    nodes = nodes.filter("size > 0")
+def _agreeing_batches(batches):
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["node", "rep"]).filter(pa.array((a == b).sum(axis=1) >= AGREE))
+
+
+def _shared_buckets(nodes: DataFrame) -> DataFrame:
+    """``(band, x)`` of the buckets that hold two nodes or more; x is (weight, node, fp,
+    size), a node's weight being the number of rows in its buckets."""
     groups = components(near_links(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
-    simhash = nodes.join(groups, "fp", "left").select(
-        F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("band"), F.struct("node", "fp", "size").alias("x")
-    )
-    buckets = materialize(nodes.select(F.explode("bands").alias("band"), F.struct("node", "fp", "size").alias("x")).unionByName(simhash), "bands")
-    rest, links, tried, texts = buckets, None, None, None
+    simhash = nodes.join(groups, "fp", "left").select(F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("band"), "node")
+    buckets = nodes.select(F.explode("bands").alias("band"), "node").unionByName(simhash)
+    counts = materialize(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("m", F.col("n")), "counts")
+    shared = materialize(hot_join(buckets, counts, ["band"], "inner"), "shared")
+    known = shared.groupBy("node").agg(F.sum("m").alias("weight")).join(nodes.select("node", "fp", "size"), "node")
+    return materialize(shared.join(known, "node").select("band", F.struct("weight", "node", "fp", "size").alias("x")), "buckets")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.withColumnRenamed("text", "x"), "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("y")), "rep")
-        return materialize(both.select(F.col("node").alias("a"), F.col("rep").alias("b"), "x", "y").mapInArrow(_similar_batches, "a long, b long"), "links")
 
-    def named(some: DataFrame) -> DataFrame:
-        wanted = nodes.select("node", "k").join(some.select("node").union(some.select(F.col("rep").alias("node"))).distinct(), "node")
-        keyed = docs.select(text_key(F.col("text")).alias("k"), "text")
-        return materialize(keyed.join(wanted, "k").groupBy("node").agg(F.min("text").alias("text")), "texts")
+def _shingle_batches(batches):
+    for batch in batches:
+        found = pa.array([shingles(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["node", "of"])
 
-    for _ in range(STARS):
-        ends = rest.groupBy("band").agg(F.min("x").alias("rep"), F.max("x.node").alias("top"), F.count(F.lit(1)).alias("n")).filter("rep.node < top")
-        tied = materialize(hot_join(rest, materialize(ends.drop("top"), "ends"), ["band"], "inner").filter("x.node <> rep.node"), "buckets")
-        if tied.isEmpty():
-            break
-        pairs = materialize(tied.filter(_possible("x", "rep")).select("x.node", F.col("rep.node").alias("rep")).distinct(), "pairs")
-        if texts is None:
-            # of every bucket of two or more: what later rounds compare is among these
-            texts = named(materialize(tied.select("x.node", F.col("rep.node").alias("rep")).distinct(), "named"))
-        good = compared(pairs)
-        links = good if links is None else links.unionByName(good)
+
+def _apart_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs ``(x, rep)`` of different components among which are all those of
+    ``open_(band, x, root)`` that share a band and reach ``SIMILAR``.
+
+    Two sets of that similarity share a shingle among the rarest ``size - 0.8 * size +
+    1`` of each.  If one of these is rare, the join on rare shingles finds the pair.  If
+    not, both reach into their frequent shingles there, all their rare ones lie before,
+    and none of those is shared: so the frequent ones alone must suffice.
+    """
+    each = materialize(texts.select("node", "text").mapInArrow(_shingle_batches, "node long, of array<long>"), "shingles")
+    flat = each.select("node", F.explode("of").alias("s"))
+    spread = materialize(flat.groupBy("s").agg(F.count(F.lit(1)).alias("n")).withColumn("df", F.col("n")), "spread")
+    ranked = hot_join(flat, spread, ["s"], "inner").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("of"))
+    prefix = F.size("of") - F.ceil(F.lit(SIMILAR) * F.size("of")).cast("int") + 1
+    ranked = materialize(
+        ranked.select("node", F.size(F.filter("of", lambda t: t["df"] > RARE)).alias("frequent"), F.filter(F.slice("of", F.lit(1), prefix), lambda t: (t["df"] > 1) & (t["df"] <= RARE)).alias("rare")),
+        "ranked",
+    )
+    rows = open_.select("x", "root", F.col("x.node").alias("node")).distinct().join(ranked, "node")
+    rare = materialize(rows.select(F.explode("rare.s").alias("s"), "x", "root"), "rare")
+    left, right = rare.alias("l"), rare.select("s", F.col("x").alias("rep"), F.col("root").alias("other")).alias("r")
+    apart = (F.col("root") != F.col("other")) & (F.col("x.node") > F.col("rep.node")) & _possible("x", "rep")
+    by_rare = left.join(right, (F.col("l.s") == F.col("r.s")) & apart).select("x", "rep").distinct()
+    # frequent ones can suffice only where they are most of a set
+    most = rows.filter(F.col("frequent") >= SIMILAR * F.col("x.size")).select("node", "frequent")
+    some = materialize(open_.withColumn("node", F.col("x.node")).join(most, "node").drop("node"), "frequent")
+    left, right = some.alias("l"), some.select("band", F.col("x").alias("rep"), F.col("root").alias("other"), F.col("frequent").alias("frequent_2")).alias("r")
+    enough = F.least("frequent", "frequent_2") * (1 + SIMILAR) >= SIMILAR * (F.col("x.size") + F.col("rep.size")) - 1e-6
+    by_frequent = left.join(right, (F.col("l.band") == F.col("r.band")) & enough & apart).select("x", "rep")
+    return by_rare.unionByName(by_frequent)
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """Links ``(a, b)`` between ``nodes(node, k, bands, fp, size, sig)``, whose texts are
+    those of ``docs`` with digest k; None where no bucket holds two."""
+    nodes = nodes.filter("size > 0")
+    shared = _shared_buckets(nodes)
+    sigs = nodes.select("node", "sig")
+    links, tried = None, None
+
+    def text_of_nodes(some: DataFrame) -> DataFrame:
+        wanted = materialize(nodes.select("node", "k").join(some, "node"), "ends")
+        keyed = docs.select(text_key(F.col("text")).alias("k"), "text").join(wanted, "k")
+        return materialize(keyed.groupBy("node").agg(F.min("text").alias("text")), "texts")
+
+    def compare(tied: DataFrame) -> DataFrame:
+        """Add the links among the pairs (x, rep) of ``tied`` that weren't tried; all links."""
+        nonlocal links, tried
+        pairs = tied.select("x.node", F.col("rep.node").alias("rep")).distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["node", "rep"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        rest = tied.join(good, (F.col("x.node") == good["a"]) & (F.col("rep.node") == good["b"]), "left_anti").select("band", "x")
-    if links is None:
-        return None
-    # what the stars have not joined is compared across components, each pair once
-    roots = components(links).select("node", "root")
-    placed = buckets.withColumn("node", F.col("x.node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    open_ = materialize(placed.join(mixed, "band").select("band", "x", "root"), "mixed")
-    left, right = open_.alias("l"), open_.select("band", F.col("x").alias("y"), F.col("root").alias("other")).alias("r")
-    apart = (F.col("root") != F.col("other")) & (F.col("x.node") > F.col("y.node"))
-    cross = left.join(right, (F.col("l.band") == F.col("r.band")) & apart & _possible("x", "y"))
-    new = cross.select("x.node", F.col("y.node").alias("rep")).distinct().join(tried, ["node", "rep"], "left_anti")
-    return links.unionByName(compared(new))
+        signed = pairs.join(sigs, "node").join(sigs.select(F.col("node").alias("rep"), F.col("sig").alias("other")), "rep")
+        close = materialize(signed.select("node", "rep", "sig", "other").mapInArrow(_agreeing_batches, "node long, rep long"), "close")
+        texts = text_of_nodes(close.select("node").union(close.select("rep")).distinct())
+        both = close.join(texts.withColumnRenamed("text", "x"), "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("y")), "rep")
+        found = materialize(both.select(F.col("node").alias("a"), F.col("rep").alias("b"), "x", "y").mapInArrow(_similar_batches, "a long, b long"), "links")
+        links = found if links is None else links.unionByName(found)
+        return links
+
+    def open_buckets() -> DataFrame:
+        """``(band, x, root)`` of the buckets that still hold several components."""
+        roots = components(links) if links is not None else None
+        placed = shared.withColumn("root", F.col("x.node"))
+        if roots is not None:
+            known = roots.select(F.col("node").alias("own"), F.col("root").alias("of"))
+            placed = shared.join(known, F.col("x.node") == F.col("own"), "left").select("band", "x", F.coalesce("of", "x.node").alias("root"))
+        placed = materialize(placed, "placed")
+        mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+        return materialize(hot_join(placed, materialize(mixed.select("band", "n"), "mixed"), ["band"], "inner"), "open")
+
+    hubs = None  # (band, root) of the round before
+    for _ in range(STARS):
+        open_ = open_buckets()
+        if open_.isEmpty():
+            return links
+        outside = open_ if hubs is None else open_.join(hubs, ["band", "root"], "left_anti")
+        hub = outside.groupBy("band").agg(F.max(F.struct("x", "root")).alias("hub"), F.count(F.lit(1)).alias("n"))
+        hub = materialize(hub, "hubs")
+        tied = hot_join(open_, hub, ["band"], "inner").select("x", "root", F.col("hub.x").alias("rep"), F.col("hub.root").alias("other"))
+        compare(tied.filter((F.col("root") != F.col("other")) & _possible("x", "rep")))
+        # the hubs by their new components
+        roots = components(links).select(F.col("node").alias("own"), F.col("root").alias("of"))
+        hubs = hub.join(roots, F.col("hub.x.node") == F.col("own"), "left").select("band", F.coalesce("of", "hub.x.node").alias("root"))
+    open_ = open_buckets()
+    if open_.isEmpty():
+        return links
+    return compare(_apart_pairs(open_, text_of_nodes(open_.select("x.node").distinct())))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """``(doc_id, k, component_id, component_k)``, one row per row of ``docs(doc_id, text)``:
     the MD5 of the text, and the smallest (doc_id, MD5) of the group."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("k"), "text")
-    marked = materialize(named.mapInArrow(_sketch_batches, "doc_id long, k string, node long, bands array<long>, fp long, size long"), "sketches")
+    marked = materialize(named.mapInArrow(_sketch_batches, "doc_id long, k string, node long, bands array<long>, fp long, size long, sig binary"), "sketches")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), "k")))
     nodes = materialize(
         marked.groupBy("node").agg(
-            first.alias("least"), F.min("k").alias("k"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("bands", "fp", "size")]
+            first.alias("least"), F.min("k").alias("k"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("bands", "fp", "size", "sig")]
         ),
         "nodes",
     )
