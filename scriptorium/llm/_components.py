@@ -56,9 +56,9 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def with_least(nodes: DataFrame, name: str, links: DataFrame) -> DataFrame:
-    """``nodes(name, least, n)`` with the smallest ``least`` of each component of ``links``."""
-    roots = components(links).withColumnRenamed("node", name)
+def with_least(nodes: DataFrame, name: str, roots: DataFrame) -> DataFrame:
+    """``nodes(name, least, n)`` with the smallest ``least`` of each component in ``roots``."""
+    roots = roots.withColumnRenamed("node", name)
     owned = materialize(nodes.join(roots, name, "left").withColumn("root", F.coalesce("root", name)), "owned")
     of_all = owned.groupBy("root").agg(F.min("least").alias("of_all"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     found = hot_join(owned.withColumnRenamed("n", "rows"), materialize(of_all, "of_all"), ["root"])

@@ -178,9 +178,9 @@ def _apart_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
     return by_rare.unionByName(by_frequent)
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """Links ``(a, b)`` between ``nodes(node, k, bands, fp, size, sig)``, whose texts are
-    those of ``docs`` with digest k; None where no bucket holds two."""
+def similar_groups(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """``(node, root)`` of the components of ``nodes(node, k, bands, fp, size, sig)``, whose
+    texts are those of ``docs`` with digest k; None where no bucket holds two."""
     nodes = nodes.filter("size > 0")
     shared = _shared_buckets(nodes)
     sigs = nodes.select("node", "sig")
@@ -192,7 +192,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
         return materialize(keyed.groupBy("node").agg(F.min("text").alias("text")), "texts")
 
     def compare(tied: DataFrame) -> DataFrame:
-        """Add the links among the pairs (x, rep) of ``tied`` that weren't tried; all links."""
+        """All links so far, with those among the pairs (x, rep) of ``tied`` not tried before."""
         nonlocal links, tried
         pairs = tied.select("x.node", F.col("rep.node").alias("rep")).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["node", "rep"], "left_anti"), "pairs")
@@ -207,32 +207,30 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
 
     def open_buckets() -> DataFrame:
         """``(band, x, root)`` of the buckets that still hold several components."""
-        roots = components(links) if links is not None else None
         placed = shared.withColumn("root", F.col("x.node"))
         if roots is not None:
             known = roots.select(F.col("node").alias("own"), F.col("root").alias("of"))
             placed = shared.join(known, F.col("x.node") == F.col("own"), "left").select("band", "x", F.coalesce("of", "x.node").alias("root"))
-        placed = materialize(placed, "placed")
+            placed = materialize(placed, "placed")
         mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
         return materialize(hot_join(placed, materialize(mixed.select("band", "n"), "mixed"), ["band"], "inner"), "open")
 
-    hubs = None  # (band, root) of the round before
+    roots = hubs = None  # components so far; (band, root) of the hubs of the round before
     for _ in range(STARS):
         open_ = open_buckets()
         if open_.isEmpty():
-            return links
+            return roots
         outside = open_ if hubs is None else open_.join(hubs, ["band", "root"], "left_anti")
         hub = outside.groupBy("band").agg(F.max(F.struct("x", "root")).alias("hub"), F.count(F.lit(1)).alias("n"))
         hub = materialize(hub, "hubs")
         tied = hot_join(open_, hub, ["band"], "inner").select("x", "root", F.col("hub.x").alias("rep"), F.col("hub.root").alias("other"))
-        compare(tied.filter((F.col("root") != F.col("other")) & _possible("x", "rep")))
-        # the hubs by their new components
-        roots = components(links).select(F.col("node").alias("own"), F.col("root").alias("of"))
-        hubs = hub.join(roots, F.col("hub.x.node") == F.col("own"), "left").select("band", F.coalesce("of", "hub.x.node").alias("root"))
+        roots = components(compare(tied.filter((F.col("root") != F.col("other")) & _possible("x", "rep"))))
+        known = roots.select(F.col("node").alias("own"), F.col("root").alias("of"))
+        hubs = hub.join(known, F.col("hub.x.node") == F.col("own"), "left").select("band", F.coalesce("of", "hub.x.node").alias("root"))
     open_ = open_buckets()
     if open_.isEmpty():
-        return links
-    return compare(_apart_pairs(open_, text_of_nodes(open_.select("x.node").distinct())))
+        return roots
+    return components(compare(_apart_pairs(open_, text_of_nodes(open_.select("x.node").distinct()))))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -247,10 +245,10 @@ def grouped(docs: DataFrame) -> DataFrame:
         ),
         "nodes",
     )
-    links = similar_links(docs, nodes)
+    roots = similar_groups(docs, nodes)
     owners = nodes.select("node", "least", "n")
-    if links is not None:
-        owners = with_least(owners, "node", links)
+    if roots is not None:
+        owners = with_least(owners, "node", roots)
     return hot_join(marked.select("doc_id", "k", "node"), owners, ["node"]).select(
         "doc_id", "k", F.col("least.id").alias("component_id"), F.col("least.k").alias("component_k")
     )

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._components import with_least
+from ._components import components, with_least
 from ._util import hot_join, keep_named, materialize, text_key, worker_state
 
 #: Fixed by the definition of the fingerprint.
@@ -267,7 +267,7 @@ def _grouped(docs: DataFrame, radius: int) -> DataFrame:
     marked = materialize(fingerprints(docs), "fingerprints")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), "k")))
     nodes = materialize(marked.groupBy("fp").agg(first.alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    owners = with_least(nodes, "fp", near_links(nodes.select("fp"), radius))
+    owners = with_least(nodes, "fp", components(near_links(nodes.select("fp"), radius)))
     return hot_join(marked, owners, ["fp"]).select(
         "doc_id", "k", "fp", F.col("least.id").alias("component_id"), F.col("least.k").alias("component_k")
     )
