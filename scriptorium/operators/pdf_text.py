@@ -323,6 +323,11 @@ def clean_content(c: Column) -> Column:
     return collapse(c)
 
 
+def caption_candidates(c: Column, figures: int = 4, tables: int = 3) -> Column:
+    """The first figure and table captions of a text."""
+    return F.concat(F.slice(captions(c, "figure"), 1, figures), F.slice(captions(c, "table"), 1, tables))
+
+
 def bracket_citations(content: Column, known: Column) -> Column:
     """``[n]`` to a citation of ``refn`` where that key is known."""
     parts = F.regexp_extract_all(content, F.lit(r"(?s)(\[\d+\]|.[^\[]*)"), 1)

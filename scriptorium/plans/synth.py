@@ -1,5 +1,6 @@
 """Manuscripts made from the ``documents`` table, so that queries over LaTeX and
-extracted pages have something to bite on.  The expressions are SQL that Spark and
+extracted pages have something to bite on.  They hold the whole text: its first 800
+characters are dealt to the first parts, all that follows goes to the last.  The expressions are SQL that Spark and
 DuckDB read alike; both engines get the same texts.
 """
 
@@ -16,6 +17,7 @@ LATEX = f"""
 (CASE WHEN doc_id % 2 = 0 THEN {B}||'documentclass[conference]{{IEEEtran}}' ELSE {B}||'documentclass[sigconf]{{acmart}}' END || {N}
 || {B}||'usepackage[utf8]{{inputenc, xcolor,graphicx}}' || {N}
 || CASE WHEN doc_id % 7 = 0 THEN {B}||'ccsdesc[500]{{Computing methods}}' || {N} ELSE '' END
+|| {B}||'newcommand{{'||{B}||'study}}[1]{{No. '||doc_id||' of {{#1}}}}' || {N}
 || CASE WHEN doc_id % 3 = 0 THEN {B}||'usetikzlibrary{{arrows}}' || {N} ELSE '' END
 || {B}||'begin{{document}}' || {N}
 || {B}||'title{{Study  '||doc_id||' of '||coalesce(source, '')||'}}' || {N}
@@ -24,8 +26,8 @@ LATEX = f"""
 || CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 2 = 0 THEN {B}||'begin{{IEEEkeywords}}'||{N}||'alpha, beta; gamma'||{N}||{B}||'end{{IEEEkeywords}}'||{N}
    ELSE {B}||'keywords{{alpha, delta}}'||{N} END
 || {B}||'section{{Introduction}}' || {N} || substr({_T}, 1, 400) || ' ' || {B}||'cite{{ref'||(doc_id % 5)||', ref'||(doc_id % 13)||'}}' || {N}
-|| {B}||'section{{Method}}' || {N} || substr({_T}, 401, 400) || ' ' || {B}||'ref{{fig:'||(doc_id % 4)||'}} '||{B}||'label{{fig:'||(doc_id % 3)||'}} '||{B}||'ref{{tab:'||(doc_id % 2)||'}}' || {N}
-|| CASE WHEN doc_id % 3 <> 0 THEN {B}||'section{{Conclusions}}' || {N} || substr({_T}, 801, 200) || {N} ELSE '' END
+|| {B}||'section{{Method}}' || {N} || CASE WHEN doc_id % 3 = 0 THEN substr({_T}, 401) ELSE substr({_T}, 401, 400) END || ' ' || {B}||'ref{{fig:'||(doc_id % 4)||'}} '||{B}||'label{{fig:'||(doc_id % 3)||'}} '||{B}||'ref{{tab:'||(doc_id % 2)||'}}' || {N}
+|| CASE WHEN doc_id % 3 <> 0 THEN {B}||'section{{Conclusions}}' || {N} || substr({_T}, 801) || {N} ELSE '' END
 || CASE WHEN doc_id % 6 = 0 THEN {B}||'begin{{acks}}Thanks to all.'||{B}||'end{{acks}}' || {N} ELSE '' END
 || {B}||'bibliographystyle{{plain}}' || {N} || {B}||'bibliography{{references}}' || {N} || {B}||'end{{document}}' || {N})
 """
@@ -40,8 +42,8 @@ PDF = f"""
 || 'Authorized licensed use limited to: no one. Restrictions apply.' || {N}
 || 'II. METHOD' || {N} || substr({_FLAT}, 401, 400) || {N} || 'Fig. 1. Overview of the whole system design' || {N} || 'TABLE II Results of all the runs' || {N}
 || 'Authorized licensed use limited to: no one. Restrictions apply.' || {N}
-|| 'III. CONCLUSION' || {N} || substr({_FLAT}, 801, 300) || {N}
-|| 'REFERENCES' || {N} || '[1] A. Author, Title of the first, Journal of Work, vol. 3, no. 2, pp. 10-20, 2001.' || {N} || '[2] B. Other, Some later paper title, 2010.' || {N})
+|| 'III. CONCLUSION' || {N} || substr({_FLAT}, 801) || {N}
+|| 'REFERENCES' || {N} || '[1] A. Author and B. Other'||(doc_id % 5)||', "Title of work '||(doc_id % 97)||'," Journal of Work, vol. '||(doc_id % 9 + 1)||', no. 2, pp. '||(doc_id % 40)||'-'||(doc_id % 40 + 9)||', '||(1990 + doc_id % 30)||'.' || {N} || '[2] B. Other, Some later paper title, 2010.' || {N})
 """
 
 #: Keys of the bibliography that comes with every document.

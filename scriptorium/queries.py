@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import constants as K
 from .functions import predicates as P
 from .functions.text import collapse, escape_latex, heading, let, lines_of, n_words, normalise_artifact, repeated, strip, text
-from .operators import artifacts, convert, generic, latex, layout, pdf_text, stateful, structure, thesis
+from .operators import artifacts, convert, generic, latex, layout, pdf_text, references, stateful, structure, thesis
 from .plans import pipeline, synth
 from .sources import projects
 from .streaming import jobs
@@ -116,10 +116,8 @@ def cite_anti(spark, d):
 l AS (SELECT doc_id, unnest(regexp_extract_all(latex, '\\label\{([^}]+)\}', 1)) AS target FROM m)
 SELECT doc_id, target FROM r ANTI JOIN l USING (doc_id, target)""")
 def ref_label_anti(spark, d):
-    """Reference targets without a label, as an anti join of exploded rows."""
-    m = synth.manuscripts(spark, d)
-    rows = lambda p: m.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("latex", F.lit(p), 1))).alias("target"))
-    return rows(r"\\ref\{([^}]+)\}").join(rows(r"\\label\{([^}]+)\}"), ["doc_id", "target"], "left_anti")
+    """Reference targets without a label."""
+    return synth.manuscripts(spark, d).select("doc_id", F.explode(latex.unresolved_refs(F.col("latex"), "")).alias("target"))
 
 
 @query("WITH {m}, " + _PARSE + "SELECT doc_id, CASE WHEN count_if(lower(title) = 'conclusion') = 0 THEN 'Conclusion' ELSE '' END AS missing FROM s GROUP BY doc_id")
@@ -197,18 +195,11 @@ def route_status(spark, d):
     )
 
 
-@query(r"""SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents)
-WHERE length(line) > 25 GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query(r"""SELECT DISTINCT doc_id, line FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents)
+WHERE length(line) > 25 GROUP BY 1, 2 HAVING count(*) >= 2)""")
 def repeated_lines(spark, d):
-    """Repeated long lines of a document, with their counts."""
-    lines = F.filter(F.transform(lines_of(F.col("text")), lambda x: strip(x)), lambda x: F.length(x) > 25)
-    return (
-        _docs(spark, d)
-        .select("doc_id", F.explode(lines).alias("line"))
-        .groupBy("doc_id", "line")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n >= 2")
-    )
+    """Repeated long lines of each document."""
+    return _docs(spark, d).select("doc_id", F.explode(pdf_text.repeated_lines(F.col("text"))).alias("line"))
 
 
 @query("""WITH l AS (SELECT doc_id, lower(substr(text, 1, 20000)) AS t FROM documents),
@@ -358,18 +349,17 @@ def ingest_confidence(spark, d):
     return r.select("doc_id", convert.confidence().alias("confidence"), *[c for c in convert.summary()]).select("doc_id", "confidence", "n_sections", "n_authors", "abstract_present")
 
 
-@query("""SELECT doc_id, 'fig:1' AS label, 'Overview of the whole system design' AS caption FROM documents UNION ALL SELECT doc_id, 'tab:ii', 'Results of all the runs' FROM documents""")
+@query()
 def caption_candidates(spark, d):
-    """The first four figure and three table captions of a text."""
+    """The first four figure and three table captions of an extracted text."""
     m = synth.manuscripts(spark, d)
-    # the document's own text is left out: what it holds is no caption
-    lines = F.array_join(F.filter(lines_of(F.col("pdf")), lambda x: x.rlike(r"^(?:Fig\.|TABLE) ")), "\n")
-    both = F.concat(F.slice(pdf_text.captions(lines, "figure"), 1, 4), F.slice(pdf_text.captions(lines, "table"), 1, 3))
-    return m.select("doc_id", F.explode(both).alias("c")).select("doc_id", "c.*")
+    return m.select("doc_id", F.explode(pdf_text.caption_candidates(F.col("pdf"))).alias("c")).select("doc_id", "c.*")
 
 
-@query(r"""WITH {m} SELECT doc_id, unnest(['ref1', 'ref2']) AS key, unnest(['A. Author, Title of the first, Journal of Work, vol. 3, no. 2, pp. 10-20, 2001.', 'B. Other, Some later paper title, 2010.']) AS raw,
- unnest(['article', 'misc']) AS kind, unnest(['2001', '2010']) AS year, unnest(['3', '']) AS volume, unnest(['2', '']) AS number, unnest(['10-20', '']) AS pages FROM m""")
+@query(r"""WITH {m}, t AS (SELECT doc_id, regexp_extract(pdf, '(?s)\nREFERENCES\n(.*)$', 1) AS tail FROM m),
+r AS (SELECT doc_id, 'ref' || regexp_extract(x, '^\[(\d+)\]', 1) AS key, trim(regexp_replace(regexp_replace(x, '^\[\d+\]', ''), '\s+', ' ', 'g')) AS raw FROM (SELECT doc_id, unnest(regexp_extract_all(tail, '\[\d+\][^\[]*')) AS x FROM t))
+SELECT doc_id, key, raw, CASE WHEN regexp_matches(raw, '(?i)proceedings|conference|symposium|workshop') THEN 'inproceedings' WHEN regexp_matches(raw, '(?i)journal|transactions|vol\.') THEN 'article' ELSE 'misc' END AS kind,
+ regexp_extract(raw, '\b(19\d\d|20\d\d)\b', 1) AS year, regexp_extract(raw, 'vol\. (\d+)', 1) AS volume, regexp_extract(raw, 'no\. (\d+)', 1) AS number, regexp_extract(raw, 'pp\. (\d+-\d+)', 1) AS pages FROM r""")
 def reference_fields(spark, d):
     """Entries of a bibliography and their fields."""
     tail = F.regexp_extract("pdf", r"(?s)\nREFERENCES\n(.*)$", 1)
@@ -385,17 +375,17 @@ def pdf_records(spark, d):
     return r.select("doc_id", "title", "abstract", F.to_json("sections").alias("sections"), F.size("references").alias("n_references"), "kind")
 
 
-@query(r"""SELECT l_orderkey AS doc_id, l_linenumber % 3 AS key, min(l_linenumber) AS first_at, arg_max(l_partkey, (l_linenumber, l_partkey)) AS last_value FROM lineitem GROUP BY 1, 2""")
+@query(r"""SELECT l_orderkey AS doc_id, (l_linenumber % 3)::VARCHAR AS key, arg_max(l_partkey, (l_linenumber, l_partkey))::VARCHAR AS raw FROM lineitem GROUP BY 1, 2""")
 def last_by_key(spark, d):
-    """One row for each key: the first position, the last value."""
-    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
-    return li.groupBy(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3).alias("key")).agg(
-        F.min("l_linenumber").alias("first_at"), F.max(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("last_value")
-    )
+    """One entry for each key of an order's lines: the last value."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey")
+    each = F.struct("l_linenumber", "l_partkey", (F.col("l_linenumber") % 3).cast("string").alias("key"), F.col("l_partkey").cast("string").alias("raw"))
+    lists = li.groupBy("doc_id").agg(F.array_sort(F.collect_list(each)).alias("x")).select("doc_id", F.transform("x", lambda r: F.struct(r["key"].alias("key"), r["raw"].alias("raw"))).alias("x"))
+    return lists.select("doc_id", F.explode(pdf_text.last_by_key(F.col("x"))).alias("r")).select("doc_id", "r.*")
 
 
-_VIS = """t AS (SELECT doc_id, 'fig:' || doc_id % 3 AS label, substr(text, 1, 20 + (doc_id % 50)::INT) AS caption, CASE WHEN doc_id % 2 = 0 THEN 'a.png' ELSE '' END AS path FROM documents),
-p AS (SELECT doc_id, 'fig:' || doc_id % 2 AS label, substr(text, 1, 45) AS caption, 'p.png' AS path FROM documents)"""
+_VIS = """t AS (SELECT doc_id, 'fig:' || doc_id % 3 AS label, split_part(coalesce(text, ''), chr(10), 1) AS caption, CASE WHEN doc_id % 2 = 0 THEN 'a.png' ELSE '' END AS path FROM documents),
+p AS (SELECT doc_id, 'fig:' || doc_id % 2 AS label, split_part(coalesce(text, ''), chr(10), -1) AS caption, 'p.png' AS path FROM documents)"""
 
 
 @query("WITH " + _VIS + """ SELECT coalesce(t.doc_id, p.doc_id) AS doc_id, coalesce(t.label, p.label) AS label,
@@ -403,10 +393,10 @@ p AS (SELECT doc_id, 'fig:' || doc_id % 2 AS label, substr(text, 1, 45) AS capti
  coalesce(nullif(t.path, ''), p.path, '') AS path, CASE WHEN t.caption IS NOT NULL AND p.caption IS NOT NULL THEN 'H' ELSE 'tbp' END AS placement
 FROM t FULL JOIN p ON t.doc_id = p.doc_id AND t.label = p.label""")
 def visual_full_outer(spark, d):
-    """Captions from text and pages, merged by label."""
+    """Captions from text (a document's first line) and pages (its last), merged by label."""
     docs = _docs(spark, d)
-    t = docs.selectExpr("doc_id", "concat('fig:', doc_id % 3) AS label", "substr(text, 1, CAST(20 + doc_id % 50 AS INT)) AS caption", "CASE WHEN doc_id % 2 = 0 THEN 'a.png' ELSE '' END AS path")
-    p = docs.selectExpr("doc_id", "concat('fig:', doc_id % 2) AS label", "substr(text, 1, 45) AS caption", "'p.png' AS path")
+    t = docs.selectExpr("doc_id", "concat('fig:', doc_id % 3) AS label", "split_part(coalesce(text, ''), chr(10), 1) AS caption", "CASE WHEN doc_id % 2 = 0 THEN 'a.png' ELSE '' END AS path")
+    p = docs.selectExpr("doc_id", "concat('fig:', doc_id % 2) AS label", "split_part(coalesce(text, ''), chr(10), -1) AS caption", "'p.png' AS path")
     return layout.merge_visuals(t, p)
 
 
@@ -572,7 +562,7 @@ def affiliation_union(spark, d):
 
 
 _EVENTS = """e AS (SELECT user_id AS job_id, ts, event_id, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'success' END AS status, event_type AS stage, (event_id % 3 * 300)::INT AS timeout_seconds FROM events),
-j AS (SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(stage, (ts, event_id)) AS stage, arg_max(timeout_seconds, (ts, event_id)) AS timeout_seconds, max(ts) AS updated_at, min(ts) AS started_at, count(*) AS n_events FROM e GROUP BY 1)"""
+j AS (SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(stage, (ts, event_id)) AS stage, arg_max(timeout_seconds, (ts, event_id)) AS timeout_seconds, max(ts) AS updated_at, coalesce(min(ts) FILTER (status = 'running'), min(ts)) AS started_at, count(*) AS n_events FROM e GROUP BY 1)"""
 
 
 def _job_events(spark, d) -> DataFrame:
@@ -657,14 +647,13 @@ def fingerprints(spark, d):
 @query("""SELECT doc_id, n, snippet FROM (SELECT doc_id, x AS snippet, row_number() OVER (PARTITION BY doc_id ORDER BY length(x) DESC, x) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents) WHERE length(x) >= 24) WHERE n <= 4""")
 def longest_snippets(spark, d):
     """The four longest distinct lines of a text, of 24 characters or more."""
-    lines = F.array_distinct(F.filter(F.split(text("text"), "\n"), lambda x: F.length(x) >= 24))
-    ranked = F.slice(F.array_sort(F.transform(lines, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1, 4)
-    return _docs(spark, d).select("doc_id", F.posexplode(ranked).alias("n", "s")).select("doc_id", (F.col("n") + 1).cast("long").alias("n"), F.col("s.x").alias("snippet"))
+    found = artifacts.longest_snippets(F.split(text("text"), "\n"))
+    return _docs(spark, d).select("doc_id", F.posexplode(found).alias("n", "snippet")).withColumn("n", (F.col("n") + 1).cast("long"))
 
 
 _THESIS = """t AS (SELECT doc_id, 'A dissertation submitted by Ann B. Lee entitled On ' || coalesce(source, '') || ' number ' || doc_id || chr(10) || 'and more be accepted' || chr(10)
  || 'ABSTRACT ' || chr(10) || 'Short words ' || doc_id || ' of  work iv and so on.' || chr(10) || 'DEDICATION to all' || chr(10) || 'CHAPTER 1 INTRODUCTION' || chr(10) || substr(coalesce(text, ''), 1, 400) || chr(10)
- || 'CHAPTER 2 METHODS' || chr(10) || substr(coalesce(text, ''), 401, 400) || chr(10) || 'REFERENCES' || chr(10) || '[1] A. Author, Title of the first long entry, 2001. [2] short' AS thesis FROM documents)"""
+ || 'CHAPTER 2 METHODS' || chr(10) || substr(coalesce(text, ''), 401) || chr(10) || 'REFERENCES' || chr(10) || '[1] A. Author, Title of the first long entry, 2001. [2] short' AS thesis FROM documents)"""
 
 
 def _theses(spark, d) -> DataFrame:
@@ -689,51 +678,45 @@ def thesis_chapters(spark, d):
     return _theses(spark, d).select("doc_id", F.posexplode(made).alias("ord", "s")).select("doc_id", "ord", "s.*")
 
 
-@query("""SELECT doc_id, 'In text, see the work.' AS body, 2::BIGINT AS n_references, 'B. Other, Some later paper title, 2011.' AS last_raw FROM documents""")
+@query()
 def separated_references(spark, d):
-    """Bibliographies split from sections and continued ones merged."""
-    sec = lambda t, c: F.struct(F.lit(t).alias("title"), F.lit(c).alias("content"))
-    arr = F.array(
-        sec("Introduction", "In text, see the work."),
-        sec("References", "[1] A. Author, Title of the first, Journal, 2001."),
-        sec("More", "[2] B. Other, Some paper title, in Proceedings, 2010. [2] B. Other, Some later paper title, 2011."),
-    )
-    r = _docs(spark, d).select("doc_id", stateful.separate_references(arr).alias("r"))
-    return r.select("doc_id", F.element_at("r.sections", 1)["content"].alias("body"), F.size("r.references").cast("long").alias("n_references"), F.element_at("r.references", 2)["raw"].alias("last_raw"))
+    """Bibliographies split from the sections of extracted texts, continued ones merged."""
+    found = references.separate_references(pdf_text.sections(F.col("pdf")))
+    r = synth.manuscripts(spark, d).select("doc_id", found.alias("r"))
+    return r.select("doc_id", F.size("r.sections").alias("n_sections"), F.to_json("r.sections").alias("sections"), F.to_json("r.references").alias("entries"))
 
 
-@query(r"""SELECT doc_id, 'Text before. \subsection{Design of Parts} The body ' || doc_id || ' goes on.' AS marked FROM documents""")
+@query()
 def marked_subsections(spark, d):
-    t = F.concat(F.lit("Text before. A. Design of Parts The body "), F.col("doc_id"), F.lit(" goes on."))
-    return _docs(spark, d).select("doc_id", stateful.mark_subsections(t).alias("marked"))
+    """Lettered subsections marked in every text."""
+    return _docs(spark, d).select("doc_id", stateful.mark_subsections(text("text")).alias("marked"))
 
 
-@query(r"""SELECT doc_id, '\newcommand{\x' || doc_id || '}[1]{a {b} c}|\let\old\new' AS macros FROM documents""")
+@query(r"""WITH {m} SELECT doc_id, array_to_string(regexp_extract_all(latex, '\\newcommand\{[^\n]*'), '|') AS macros FROM m""")
 def custom_macros(spark, d):
-    """Macro definitions of a preamble."""
-    pre = F.concat(F.lit("% \\newcommand{\\no}{}\n\\newcommand{\\x"), F.col("doc_id"), F.lit("}[1]{a\n {b} c}\n\\setlength{\\parskip}{1pt}\n\\let\\old\\new\n"))
-    return _docs(spark, d).select("doc_id", F.array_join(stateful.custom_macros(pre), "|").alias("macros"))
+    """Macro definitions of each manuscript's preamble."""
+    preamble = F.substring_index("latex", "\\begin{document}", 1)
+    return synth.manuscripts(spark, d).select("doc_id", F.array_join(stateful.custom_macros(preamble), "|").alias("macros"))
 
 
-@query("""SELECT doc_id, 'A. Author and B. Other' AS author, 'Title number ' || doc_id AS title FROM documents""")
+@query(r"""WITH {m}, r AS (SELECT doc_id, regexp_extract(pdf, '(?s)\nREFERENCES\n\[1\] ([^\n]*)\.\n', 1) AS raw FROM m)
+SELECT doc_id, 'article' AS kind, regexp_extract(raw, '^(.*), "', 1) AS author, regexp_extract(raw, '"([^"]*),"', 1) AS title, regexp_extract(raw, '" (Journal[^,]*)', 1) AS journal, '' AS booktitle, '' AS note FROM r""")
 def citation_split(spark, d):
-    """Author and title of a raw citation."""
-    raw = F.concat(F.lit('A. Author and B. Other, "Title number '), F.col("doc_id"), F.lit(',\" in Proc. X Conf., 2023, pp. 1-10.'))
-    return _docs(spark, d).select("doc_id", stateful.citation_split(raw).alias("c")).select("doc_id", "c.*")
+    """Kind, author, title and venue of the first citation of each extracted text."""
+    raw = F.get(pdf_text.reference_entries(F.regexp_extract("pdf", r"(?s)\nREFERENCES\n(.*)$", 1)), 0)["raw"]
+    return synth.manuscripts(spark, d).select("doc_id", references.split_citation(raw).alias("c")).select("doc_id", "c.*")
 
 
-@query("""SELECT doc_id, 'Plain words before. . And after it.' AS cleaned FROM documents""")
+@query()
 def equation_residue(spark, d):
-    """Prose without the residue of displayed equations."""
-    t = F.lit("Plain words before. d = sqrt((x1 - x2)2 + (y1 - y2)2) + p1 / p2 (3). And after it.")
-    return artifacts.remove_equation_residue(_docs(spark, d).select("doc_id", t.alias("cleaned")), "cleaned")
+    """Every text without the residue of displayed equations."""
+    return artifacts.remove_equation_residue(_docs(spark, d).select("doc_id", text("text").alias("cleaned")), "cleaned")
 
 
-@query("""SELECT doc_id, 'y = a x (2)' AS line, '(2)' AS found FROM documents""")
+@query()
 def linear_equations(spark, d):
-    """Equation lines folded to one, and their number."""
-    lines = F.array(F.lit("y ="), F.lit("(2)"), F.lit("a"), F.lit("x"))
-    return _docs(spark, d).select("doc_id", artifacts.linearize(lines).alias("line"), F.concat(F.lit("("), artifacts.equation_number(lines), F.lit(")")).alias("found"))
+    """The lines of each text folded as an equation's lines are, and their number."""
+    return _docs(spark, d).select("doc_id", artifacts.linearize(lines_of(F.col("text"))).alias("line"), artifacts.equation_number(lines_of(F.col("text"))).alias("found"))
 
 
 @query("WITH {m}, " + _PARSE + """, a AS (SELECT doc_id, 'e' AS label FROM documents) SELECT a.doc_id, a.label, 'Method' AS section FROM a""")
@@ -745,19 +728,19 @@ def placed_artifacts(spark, d):
     return artifacts.place(a, s).select("doc_id", "label", "section")
 
 
-@query("""SELECT doc_id, 'It ends here.' || chr(10) || chr(10) || '[F]' || chr(10) || ' Then ' || doc_id || chr(92) || '% more.' || chr(10) || chr(10) || '[G]' || chr(10) AS text FROM documents""")
+@query()
 def injected_artifacts(spark, d):
-    """Artifacts put behind their anchors, prose escaped around them."""
-    t = F.concat(F.lit("It ends here. Then "), F.col("doc_id"), F.lit("% more."))
-    a = F.array(F.struct(F.lit("[F]").alias("latex"), F.lit("It ends here.").alias("anchor")), F.struct(F.lit("[G]").alias("latex"), F.lit("nowhere").alias("anchor")))
-    return _docs(spark, d).select("doc_id", artifacts.inject(t, a, escape=True).alias("text"))
+    """Artifacts put behind their anchors, the whole text escaped around them: one behind
+    the first sentence, one without an anchor that the text holds."""
+    first = F.coalesce(F.get(artifacts.sentences(text("text")), 0), F.lit(""))
+    a = F.array(F.struct(F.lit("[F]").alias("latex"), first.alias("anchor")), F.struct(F.lit("[G]").alias("latex"), F.concat(F.lit("nowhere "), F.col("doc_id")).alias("anchor")))
+    return _docs(spark, d).select("doc_id", artifacts.inject(text("text"), a, escape=True).alias("text"))
 
 
-@query("""SELECT doc_id, 'Words stay ' || doc_id || ' and go on.' AS cleaned FROM documents""")
+@query()
 def scrubbed_snippets(spark, d):
-    """Prose without the text of artifacts that were placed."""
-    t = F.concat(F.lit("Words stay "), F.col("doc_id"), F.lit(" a long table row of values 1 2 3 4 and go on."))
-    return _docs(spark, d).select("doc_id", artifacts.remove_snippets(t, F.array(F.lit("a long table row of values 1 2 3 4"), F.lit("short"))).alias("cleaned"))
+    """Every text without its four longest lines."""
+    return _docs(spark, d).select("doc_id", artifacts.remove_snippets(text("text"), artifacts.longest_snippets(lines_of(F.col("text")))).alias("cleaned"))
 
 
 @query("""SELECT doc_id, 'success' AS status, 3 - (doc_id % 3 = 0)::INT AS n_sections FROM documents""")
@@ -785,10 +768,11 @@ def reference_placeholders(spark, d):
     return synth.manuscripts(spark, d).select("doc_id", F.array_join(F.transform(stateful.reference_placeholders(F.col("pdf")), lambda r: r["key"]), "|").alias("keys"))
 
 
-@query("""SELECT doc_id, '@article{k' || doc_id || ', title={A {B} c}}' AS raw, 'k' || doc_id AS key FROM documents""")
+@query("""SELECT doc_id, '@article{k' || doc_id || ', title={' || translate(coalesce(text, ''), '{}@', '') || '}, note={A {B} c}}' AS raw, 'k' || doc_id AS key FROM documents""")
 def bib_entries(spark, d):
-    """Entries of a BibTeX text with nested braces."""
-    t = F.concat(F.lit("junk @article{k"), F.col("doc_id"), F.lit(", title={A {B} c}} @string{nokey} @book{open, x={"))
+    """Entries of BibTeX texts that hold the whole text, with nested braces, junk and an open entry."""
+    plain = F.translate(text("text"), "{}@", "")
+    t = F.concat(F.lit("junk @article{k"), F.col("doc_id"), F.lit(", title={"), plain, F.lit("}, note={A {B} c}} @string{nokey} @book{open, x={"))
     return _docs(spark, d).select("doc_id", F.explode(projects.bib_entries(t)).alias("e")).select("doc_id", "e.*")
 
 
@@ -798,9 +782,10 @@ def generic_articles(spark, d):
     return _docs(spark, d).select("doc_id", generic.article(text("text"), F.concat(F.lit("doc "), F.col("doc_id"))).alias("main"))
 
 
-@query(r"""SELECT doc_id, '\usepackage{booktabs}|\usepackage{xcolor}|\usetikzlibrary{arrows}|\graphicspath{{figs/}{./}}' AS lines FROM documents""")
+@query()
 def preamble_lines(spark, d):
-    """The preamble that a body and its source ask for."""
-    lit = lambda *v: F.array(*[F.lit(x) for x in v])
-    made = generic.preamble_lines(F.lit("\\toprule"), lit("booktabs", "xcolor", "odd"), lit("\\usetikzlibrary{arrows}"), lit("figs", "./", " "), F.array().cast("array<string>"))
-    return _docs(spark, d).select("doc_id", F.array_join(made, "|").alias("lines"))
+    """The preamble that each manuscript and its packages ask for."""
+    none = F.array().cast("array<string>")
+    libraries = F.transform(F.regexp_extract_all("latex", F.lit(r"(\\usetikzlibrary\{[^}]*\})"), 1), lambda x: x)
+    made = generic.preamble_lines(F.col("latex"), latex.source_packages(F.substring_index("latex", "\\begin{document}", 1)), libraries, none, none)
+    return synth.manuscripts(spark, d).select("doc_id", F.array_join(made, "|").alias("lines"))
\ No newline at end of file

@@ -12,7 +12,5 @@ def struct(**fields: T.DataType) -> T.StructType:
 REFERENCES = T.ArrayType(struct(key=T.StringType(), raw=T.StringType()))
 SECTIONS = T.ArrayType(struct(title=T.StringType(), content=T.StringType()))
 VISUALS = T.ArrayType(struct(label=T.StringType(), caption=T.StringType(), path=T.StringType(), placement=T.StringType()))
-SPANS = T.ArrayType(struct(lo=T.IntegerType(), hi=T.IntegerType()))
-SEPARATED = struct(sections=SECTIONS, references=REFERENCES)
-CITATION = struct(author=T.StringType(), title=T.StringType())
+SPANS = T.ArrayType(struct(lo=T.IntegerType(), hi=T.IntegerType(), text=T.StringType()))
 TEXT = T.StringType()
