@@ -1,7 +1,7 @@
 """Text extracted from pages: cleaning, typing, front matter, sections.
 
-Lines stay arrays inside the row of their document, so nothing here shuffles; a
-document of any length is one row's work, n log n in its lines.
+Lines stay arrays inside the row of their document, so nothing here shuffles.  A
+document is one row's work; some steps look through its lines once for each line.
 """
 
 from __future__ import annotations
