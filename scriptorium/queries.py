@@ -573,6 +573,27 @@ def _job_events(spark, d) -> DataFrame:
     )
 
 
+@query("WITH " + _EVENTS + """, b AS (SELECT *, lag(stage) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before FROM e),
+ n AS (SELECT * FROM b WHERE before IS NULL OR stage IS DISTINCT FROM before)
+ SELECT job_id, row_number() OVER w AS seq, stage, epoch_us(ts) AS entered_at, epoch_us(lead(ts) OVER w) AS left_at FROM n WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)""")
+def job_timeline(spark, d):
+    """The stages that each job went through."""
+    found = jobs.timeline(_job_events(spark, d))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return found.withColumns({"seq": F.col("seq").cast("long"), "entered_at": micros("entered_at"), "left_at": micros("left_at")})
+
+
+@query("WITH " + _EVENTS + """, x AS (SELECT user_id AS job_id, max(event_id % 3)::INT AS exit_code FROM events WHERE event_type = (SELECT max(event_type) FROM events) GROUP BY 1)
+ SELECT job_id, CASE WHEN status IN ('queued', 'running') AND exit_code IS NOT NULL THEN 'failed' ELSE status END AS status,
+  CASE WHEN status IN ('queued', 'running') AND exit_code IS NOT NULL THEN 'worker_exit' END AS failure_kind FROM j LEFT JOIN x USING (job_id)""")
+def job_worker_exit(spark, d):
+    """Active jobs whose worker has ended; the last of the event types counts as a worker's end."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    last = events.agg(F.max("event_type").alias("event_type"))
+    ended = events.join(F.broadcast(last), "event_type").select(F.col("user_id").alias("job_id"), (F.col("event_id") % 3).cast("int").alias("exit_code"))
+    return jobs.worker_exit(jobs.latest(_job_events(spark, d)), ended).select("job_id", "status", "failure_kind")
+
+
 @query("WITH " + _EVENTS + " SELECT job_id, status, stage, timeout_seconds, n_events FROM j")
 def job_latest(spark, d):
     """The latest state of each job."""
