@@ -84,13 +84,42 @@ def hot_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "left"
     return rows.join(hot, keys).unionByName(rest.join(cold, keys, how))
 
 
+#: Bits of a bitmap for each key in it, and the most bits of one (16 MB, the bound of its broadcast).
+BITS_A_KEY, MOST_BITS = 16, 1 << 27
+
+
+def maybe_in(rows: DataFrame, some: DataFrame, keys: list[str], hit: str) -> DataFrame:
+    """``rows`` with a boolean ``hit``: false only where ``keys`` are not in ``some``.
+
+    A bitmap of the hashed keys is built in the executors and broadcast, so that of
+    rows with long texts only those that may be wanted are shuffled by an exact join
+    behind it.  One in ``BITS_A_KEY`` others hits too; beyond ``MOST_BITS`` bits more
+    do, which costs shuffle but never a row.
+    """
+    size = 1 << 15
+    wanted = BITS_A_KEY * some.count()
+    while size < min(wanted, MOST_BITS):
+        size *= 2
+
+    def place(table: DataFrame) -> DataFrame:
+        return table.withColumn("__at", F.pmod(F.xxhash64(*keys), F.lit(size)) + 1)
+
+    bits = place(some).groupBy(F.bitmap_bucket_number("__at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__at")).alias("__bits"))
+    placed = place(rows).withColumn("__bucket", F.bitmap_bucket_number("__at")).withColumn("__bit", F.bitmap_bit_position("__at").cast("int"))
+    byte = F.expr("cast(conv(hex(substring(__bits, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    found = F.coalesce(F.getbit(byte, F.col("__bit") % 8) == 1, F.lit(False))
+    return placed.join(F.broadcast(bits), "__bucket", "left").withColumn(hit, found).drop("__at", "__bucket", "__bit", "__bits")
+
+
 def keep_named(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with all columns of ``docs``.
 
     ``marked(doc_id, k, component_id, component_k)`` tells each row's group and the
     group's chosen (doc_id, MD5 of the text).  Only keys are shuffled to find what
-    goes; rows of one (doc_id, text) become one, rows without a doc_id stay.
+    goes, and of the texts only those that may go; rows of one (doc_id, text) become
+    one, rows without a doc_id stay.
     """
+    names = ["__doc", "__key"]
     ours = docs.select("*", F.col("doc_id").cast("long").alias("__doc"), text_key(F.col("text")).alias("__key"))
     keys = marked.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__doc"), F.col("k").alias("__key"))
     known = materialize(
@@ -99,9 +128,12 @@ def keep_named(docs: DataFrame, marked: DataFrame) -> DataFrame:
         .filter(~F.col("chosen") | (F.col("n") > 1)),
         "decided",
     )
-    single = ours.join(known.select("__doc", "__key"), ["__doc", "__key"], "left_anti")
-    repeated = ours.join(known.filter("chosen").select("__doc", "__key"), ["__doc", "__key"], "left_semi").dropDuplicates(["__doc", "__key"])
-    return single.select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    told = maybe_in(ours, known, names, "__hit")
+    maybe = told.filter("__hit")
+    other = maybe.join(known.select(*names), names, "left_anti")
+    repeated = maybe.join(known.filter("chosen").select(*names), names, "left_semi").dropDuplicates(names)
+    kept = [found.select(*docs.columns) for found in (told.filter("not __hit"), other, repeated)]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
 def text_key(text: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components, with_least
-from ._util import hot_join, keep_named, materialize, text_key, worker_state
+from ._util import hot_join, keep_named, materialize, maybe_in, text_key, worker_state
 from .simhash import bits_of, lanes_of_bytes, near_links
 
 SHINGLE_WORDS, SIMILAR, SEED = 5, 0.8, 42
@@ -188,7 +188,7 @@ def similar_groups(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
 
     def text_of_nodes(some: DataFrame) -> DataFrame:
         wanted = materialize(nodes.select("node", "k").join(some, "node"), "ends")
-        keyed = docs.select(text_key(F.col("text")).alias("k"), "text").join(wanted, "k")
+        keyed = maybe_in(docs.select(text_key(F.col("text")).alias("k"), "text"), wanted, ["k"], "hit").filter("hit").join(wanted, "k")
         return materialize(keyed.groupBy("node").agg(F.min("text").alias("text")), "texts")
 
     def compare(tied: DataFrame) -> DataFrame:

@@ -64,3 +64,16 @@ def test_odd_rows(spark):
     assert got == sorted([(None, 7), (7, 7), (7, 7), (8, 8), (9, 8), (10, 10), (None, None)], key=str)
     assert near_copies.keep_one(df).count() == 5
     assert near_copies.keep_one(df.limit(0)).count() == 0
+
+
+def test_bitmap_never_misses(spark):
+    from scriptorium.llm._util import maybe_in
+
+    rows = spark.range(0, 40_000).selectExpr("id", "md5(cast(id as string)) as k", "id as at")
+    told = maybe_in(rows, rows.filter("id % 10 = 0"), ["id", "k"], "hit")
+    assert told.columns == ["id", "k", "at", "hit"]
+    counts = told.selectExpr("id % 10 = 0 as wanted", "hit").groupBy("wanted", "hit").count().collect()
+    found = {(r["wanted"], r["hit"]): r["count"] for r in counts}
+    assert found[True, True] == 4000 and (True, False) not in found
+    assert sum(found.values()) == 40_000 and found[False, True] < 36_000 / 8
+    assert maybe_in(rows, rows.filter("false"), ["k"], "hit").filter("hit").count() == 0
