@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import sys
 import tempfile
 import types
@@ -169,19 +168,4 @@ def worker_state(owner: str) -> dict:
     if held.get("owner") != owner:
         held.pop("state", None)
         held["owner"] = owner
-        return_memory()
     return held.setdefault("state", {})
-
-
-def return_memory() -> None:
-    """Give what this process has freed back to the system, where that can be done."""
-    import ctypes
-
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not the GNU C library
-        return
