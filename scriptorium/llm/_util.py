@@ -136,6 +136,20 @@ def keep_named(docs: DataFrame, marked: DataFrame) -> DataFrame:
     return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES, BATCH_SETTING, BATCH_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` over batches of some ``BATCH_BYTES``, so that executor and worker
+    hold megabytes of texts of any length.  The session's setting is read when the plan
+    runs, so it is changed and stays so; one that isn't Spark's default is left alone."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) == BATCH_DEFAULT:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def text_key(text: Column) -> Column:
     """MD5 of a text's bytes; null counts as empty."""
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))

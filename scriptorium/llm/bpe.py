@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tokens import UnitCache, slices, vocabulary_path
-from ._util import worker_state
+from ._util import mapped, worker_state
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Longest piece, in bytes, that is merged together with others.
@@ -253,9 +253,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bo
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, schema + (", ids array<int>" if with_ids else "")
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return mapped(texts, run, schema + (", ids array<int>" if with_ids else ""))
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import materialize, worker_state
+from ._util import mapped, materialize, worker_state
 
 #: Hash buckets of each n-gram order.
 BUCKETS = 1 << 15
@@ -226,7 +226,7 @@ def train(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
     names = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     if not names:
         return Model([], np.ones((0, 1), np.int8), np.zeros((2 * BUCKETS + 1, 1), np.float32), np.ones((0, 1)))
-    rows = sample.filter("NOT checks").select("lang", "text").repartition("lang").mapInArrow(counted, "lang string, counts binary").collect()
+    rows = mapped(sample.filter("NOT checks").select("lang", "text").repartition("lang"), counted, "lang string, counts binary").collect()
     got = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in rows}
     model = model_of(names, np.array([got.get(n, np.zeros(2 * BUCKETS + 1, np.int64)) for n in names]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: buckets x bits
@@ -238,7 +238,7 @@ def train(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
             for lang, t in zip(langs, texts):
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([right_bits(model, lang, [t.as_py()]).tolist()], pa.list_(pa.int64()))], names=["lang", "ok"])
 
-    each = sample.filter("checks").select("lang", "text").mapInArrow(checked, "lang string, ok array<long>")
+    each = mapped(sample.filter("checks").select("lang", "text"), checked, "lang string, ok array<long>")
     bits = [F.sum(F.get("ok", F.lit(j))).alias(f"b{j}") for j in range(model.code.shape[1])]
     right, total = np.zeros(model.code.shape), np.zeros(len(names))
     for r in each.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *bits).collect():
@@ -271,9 +271,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
                 )
 
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text"
-    ).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    return mapped(named, run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -292,7 +291,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                 rows = model.predict(part.column(at).to_pylist())
                 yield part.filter(pa.array([r[0] != UNDETERMINED and not r[2] for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components, with_least
-from ._util import hot_join, keep_named, materialize, maybe_in, text_key, worker_state
+from ._util import hot_join, keep_named, mapped, materialize, maybe_in, text_key, worker_state
 from .simhash import bits_of, lanes_of_bytes, near_links
 
 SHINGLE_WORDS, SIMILAR, SEED = 5, 0.8, 42
@@ -155,7 +155,7 @@ def _apart_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
     not, both reach into their frequent shingles there, all their rare ones lie before,
     and none of those is shared: so the frequent ones alone must suffice.
     """
-    each = materialize(texts.select("node", "text").mapInArrow(_shingle_batches, "node long, of array<long>"), "shingles")
+    each = materialize(mapped(texts.select("node", "text"), _shingle_batches, "node long, of array<long>"), "shingles")
     flat = each.select("node", F.explode("of").alias("s"))
     spread = materialize(flat.groupBy("s").agg(F.count(F.lit(1)).alias("n")).withColumn("df", F.col("n")), "spread")
     ranked = hot_join(flat, spread, ["s"], "inner").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("of"))
@@ -198,10 +198,10 @@ def similar_groups(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["node", "rep"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         signed = pairs.join(sigs, "node").join(sigs.select(F.col("node").alias("rep"), F.col("sig").alias("other")), "rep")
-        close = materialize(signed.select("node", "rep", "sig", "other").mapInArrow(_agreeing_batches, "node long, rep long"), "close")
+        close = materialize(mapped(signed.select("node", "rep", "sig", "other"), _agreeing_batches, "node long, rep long"), "close")
         texts = text_of_nodes(close.select("node").union(close.select("rep")).distinct())
         both = close.join(texts.withColumnRenamed("text", "x"), "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("y")), "rep")
-        found = materialize(both.select(F.col("node").alias("a"), F.col("rep").alias("b"), "x", "y").mapInArrow(_similar_batches, "a long, b long"), "links")
+        found = materialize(mapped(both.select(F.col("node").alias("a"), F.col("rep").alias("b"), "x", "y"), _similar_batches, "a long, b long"), "links")
         links = found if links is None else links.unionByName(found)
         return links
 
@@ -237,7 +237,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     """``(doc_id, k, component_id, component_k)``, one row per row of ``docs(doc_id, text)``:
     the MD5 of the text, and the smallest (doc_id, MD5) of the group."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("k"), "text")
-    marked = materialize(named.mapInArrow(_sketch_batches, "doc_id long, k string, node long, bands array<long>, fp long, size long, sig binary"), "sketches")
+    marked = materialize(mapped(named, _sketch_batches, "doc_id long, k string, node long, bands array<long>, fp long, size long, sig binary"), "sketches")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), "k")))
     nodes = materialize(
         marked.groupBy("node").agg(

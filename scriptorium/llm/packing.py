@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tokens import VOCABULARY, public_encoder, slices
+from ._util import mapped
 
 CAPACITY = 1024
 #: Relative cost of a token, and of a pair of tokens that attend to each other.
@@ -156,7 +157,7 @@ def pack_documents(
         if ids:
             yield from emit()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

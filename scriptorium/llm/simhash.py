@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components, with_least
-from ._util import hot_join, keep_named, materialize, text_key, worker_state
+from ._util import hot_join, keep_named, mapped, materialize, text_key, worker_state
 
 #: Fixed by the definition of the fingerprint.
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
@@ -68,9 +68,8 @@ def _fingerprint_batches(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, k, fp)``, one row per row of ``docs(doc_id, text)``; k is the text's MD5."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("k"), "text").mapInArrow(
-        _fingerprint_batches, "doc_id long, k string, fp long"
-    )
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("k"), "text")
+    return mapped(named, _fingerprint_batches, "doc_id long, k string, fp long")
 
 
 def build_tree(sample: np.ndarray, levels: int, radius: int, seed: int = 1) -> list | None:

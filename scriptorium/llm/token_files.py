@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._files import open_random, write_whole
 from ._tokens import VOCABULARY, public_encoder, slices
-from ._util import new_path
+from ._util import mapped, new_path
 
 #: Magic numbers of the public formats.
 SKIP_DIRECTORY, SKIP_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -188,7 +188,7 @@ def write_token_files(
         write_whole(path, write_frames(itertools.chain([first], stream)))
         yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "documents": total[0], "ids": total[1]}])
 
-    rows = ordered.select("doc_id", "text").mapInArrow(run, "part long, path string, documents long, ids long").collect()
+    rows = mapped(ordered.select("doc_id", "text"), run, "part long, path string, documents long, ids long").collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._files import open_fs, open_random, write_whole  # noqa: F401
-from ._util import hot_join, materialize, new_path
+from ._util import hot_join, mapped, materialize, new_path
 
 VERSION = b"WARC/1.1"
 #: First bytes of a gzip member: magic and the deflate method.
@@ -352,7 +352,7 @@ def write_archives(pages: DataFrame, folder: str) -> list[str]:
         write_whole(path, itertools.chain([one], stream))
         yield pa.RecordBatch.from_pydict({"path": [path]})
 
-    return sorted(r["path"] for r in plan_records(pages).mapInArrow(run, "path string").collect())
+    return sorted(r["path"] for r in mapped(plan_records(pages), run, "path string").collect())
 
 
 READ_SCHEMA = (
