@@ -22,6 +22,8 @@ _TOUCHING = re.compile(r"\s\s")
 #: ASCII marks that end a word; a run of them is one piece of the pattern.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CACHE_UNITS = 1_000_000
+#: Of these a worker's encoder keeps: some 100 MB.
+ENCODER_UNITS = 600_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -39,14 +41,18 @@ class UnitCache:
 
     ``join(parts)`` puts the values of consecutive units together and
     ``whole(text)`` encodes a text that can't be cut.  Memory is bounded by
-    ``limit`` units: the cache starts anew when it is full.  New units are encoded
-    line by line, or, if ``batched``, for all texts of a call together.
+    ``limit`` units.  If ``batched``, new units are encoded for all texts of a call
+    together, and the cache starts anew when it is full.  Else they are encoded line by
+    line, and the cache has two halves: a full young half becomes the old one, from
+    which units that come again return, so that frequent words are never lost.
     """
 
     def __init__(self, encode_units, join, limit: int = CACHE_UNITS, batched: bool = True, added: tuple[str, ...] = ()):
         self.encode_units, self.join, self.limit, self.batched, self.added = encode_units, join, limit, batched, added
         self.spaced: dict = {}  # unit without its leading space
         self.plain: dict = {}
+        self.old_spaced: dict = {}
+        self.old_plain: dict = {}
         self.newline = encode_units(["\n"])[0]
 
     def _uncut(self, text: str) -> bool:
@@ -77,21 +83,32 @@ class UnitCache:
             return self.join([])
         if self._uncut(text):
             return self.encode_units([text])[0]
-        if len(self.spaced) + len(self.plain) > self.limit:
-            self.spaced.clear()
-            self.plain.clear()
+        if len(self.spaced) + len(self.plain) > self.limit // 2:
+            self.old_spaced, self.old_plain, self.spaced, self.plain = self.spaced, self.plain, {}, {}
         plain, spaced, known, parts = self.plain, self.spaced, self.spaced.get, []
+        earlier = self.old_spaced.pop
         for i, line in enumerate(text.split("\n")):
             units = line.split(" ")
             head = units[0]
             values = list(map(known, units))
             values[0] = plain.get(head)
             if values[0] is None:
-                values[0] = plain[head] = self.encode_units([head])[0] if head else self.join([])
+                values[0] = self.old_plain.pop(head, None)
+                if values[0] is None:
+                    values[0] = self.encode_units([head])[0] if head else self.join([])
+                plain[head] = values[0]
             if None in values:
-                new = [k for k, v in enumerate(values) if v is None]
-                for k, v in zip(new, self.encode_units([units[k] for k in new], " ")):
-                    values[k] = spaced[units[k]] = v
+                new = []
+                for k, v in enumerate(values):
+                    if v is None:
+                        v = earlier(units[k], None)
+                        if v is None:
+                            new.append(k)
+                        else:
+                            values[k] = spaced[units[k]] = v
+                if new:
+                    for k, v in zip(new, self.encode_units([units[k] for k in new], " ")):
+                        values[k] = spaced[units[k]] = v
             if i:
                 parts.append(self.newline)
             parts += values
@@ -203,7 +220,7 @@ def public_encoder(vocabulary: str = VOCABULARY) -> UnitCache:
 
         tok = Tokenizer.from_file(path)
         added = tuple(t.content for t in tok.get_added_tokens_decoder().values())
-        state["encoder", path] = UnitCache(_unit_encoder(tok), b"".join, batched=False, added=added)
+        state["encoder", path] = UnitCache(_unit_encoder(tok), b"".join, ENCODER_UNITS, batched=False, added=added)
     return state["encoder", path]
 
 

@@ -197,3 +197,14 @@ def test_files_survive_a_repeated_task(spark, tmp_path):
     bytes_ = {m["path"]: open(m["path"], "rb").read() for m in first}
     again = token_files.write_token_files(docs, str(tmp_path / "t"), partitions=3)
     assert again == first and {m["path"]: open(m["path"], "rb").read() for m in again} == bytes_
+
+
+def test_cache_of_two_halves_gives_the_library_ids():
+    """Units return from the old half; neither half outgrows its share by more than one text."""
+    encoder = _tokens.public_encoder()
+    made = _tokens.UnitCache(encoder.encode_units, b"".join, 20, batched=False)
+    texts = [f"the same words again\nword{i} and {'x' * (i % 7)}y the same" for i in range(100)] * 2
+    for text, ids in zip(texts, library_ids(texts)):
+        assert np.frombuffer(made.encode([text])[0], "<u4").tolist() == ids
+        assert max(len(made.spaced) + len(made.plain), len(made.old_spaced) + len(made.old_plain)) <= 20
+    assert "same" in {**made.spaced, **made.old_spaced}
