@@ -35,6 +35,8 @@ SKIP_DIRECTORY, SKIP_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_IDS = 65_536
 LEVEL = 1
 END_ID = 2
+#: Ids that one reading task takes, if that gives tasks for all cores: a second or two.
+READ_IDS = 64_000_000
 #: Layouts of a document and of a directory entry, and their sizes.
 _DOC, _DOC_SIZE = "<qBI", 13
 _DIR, _DIR_SIZE = "<qBIQ", 21
@@ -192,17 +194,36 @@ def write_token_files(
     return [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]
 
 
+def reading_tasks(sizes: list[int], least: int, most_ids: int = READ_IDS) -> list[int]:
+    """The task of each file, by the files' ids: ``least`` tasks, or as many more as hold
+    ``most_ids`` each, get even runs of consecutive files, to half a file at either end."""
+    total = max(1, sum(sizes))
+    n = max(least, -(-total // most_ids))
+    if len(sizes) <= n:
+        return list(range(len(sizes)))
+    tasks, shares, before = [], [], 0
+    for size in sizes:
+        share = (2 * before + size) * n // (2 * total)
+        if not shares or share != shares[-1]:
+            shares.append(share)
+        tasks.append(len(shares) - 1)
+        before += size
+    return tasks
+
+
 def read_token_files(spark, manifest: list[dict], with_ids: bool = False) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document in the files.
 
     start counts the ids of all documents before it; documents come as they were
-    written, nulls and repeats included.  One task reads one file, frame by frame; a
-    frame that fails its checksum raises ``Corrupt``.
+    written, nulls and repeats included.  A task reads whole files, frame by frame, small
+    files together: every task that writes its rows has the executor start processes
+    (Hadoop's local store without its native library sets modes by ``chmod``).  A frame
+    that fails its checksum raises ``Corrupt``.
     """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     rows, base = [], 0
-    for m in manifest:
-        rows.append((m["path"], base))
+    for m, task in zip(manifest, reading_tasks([m["ids"] for m in manifest], spark.sparkContext.defaultParallelism)):
+        rows.append((m["path"], base, task))
         base += m["ids"]
     if not rows:
         return spark.createDataFrame([], schema)
@@ -227,7 +248,7 @@ def read_token_files(spark, manifest: list[dict], with_ids: bool = False) -> Dat
                             arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
                         )
 
-    files = spark.createDataFrame(rows, "path string, base long").repartition(len(rows))
+    files = spark.createDataFrame(rows, "path string, base long, task int").repartitionById(rows[-1][2] + 1, F.col("task"))
     return files.mapInArrow(run, schema)
 
 

@@ -208,3 +208,27 @@ def test_cache_of_two_halves_gives_the_library_ids():
         assert np.frombuffer(made.encode([text])[0], "<u4").tolist() == ids
         assert max(len(made.spaced) + len(made.plain), len(made.old_spaced) + len(made.old_plain)) <= 20
     assert "same" in {**made.spaced, **made.old_spaced}
+
+
+def test_small_token_files_share_a_reading_task(spark, tmp_path):
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('word ', cast(id % 9 AS int)) AS text")
+    manifest = token_files.write_token_files(docs, str(tmp_path / "t"), partitions=40)
+    read = token_files.read_token_files(spark, manifest)
+    by_task = [[r.doc_id for r in rows] for rows in read.rdd.glom().collect()]
+    assert len(manifest) == 40 and len(by_task) <= 2 * spark.sparkContext.defaultParallelism and all(by_task)
+    assert [d for rows in by_task for d in rows] == list(range(400))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 3000), min_size=1, max_size=60), st.integers(1, 12), st.integers(1, 5000))
+def test_reading_tasks_are_consecutive_and_bounded(sizes, least, most):
+    tasks = token_files.reading_tasks(sizes, least, most)
+    assert len(tasks) == len(sizes) and tasks[0] == 0
+    assert all(b - a in (0, 1) for a, b in zip(tasks, tasks[1:]))
+    n = max(least, -(-sum(sizes) // most))
+    for task in set(tasks):
+        held = [s for s, t in zip(sizes, tasks) if t == task]
+        assert sum(held) - held[0] / 2 - held[-1] / 2 <= sum(sizes) / n
+    assert tasks[-1] < n or n >= len(sizes)
+    assert token_files.reading_tasks([1] * 4, 6) == [0, 1, 2, 3] and token_files.reading_tasks([1] * 9, 3) == [0, 0, 0, 1, 1, 1, 2, 2, 2]
+    assert token_files.reading_tasks([3] * 8, 2, 6) == [0, 0, 1, 1, 2, 2, 3, 3]
