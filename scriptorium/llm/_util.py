@@ -54,15 +54,30 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage,
-    computes once, and survives the loss of any executor."""
+    computes once, and survives the loss of any executor.  At most ``tasks`` files are written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input for each task that writes rows of about that size, and the most tasks that Spark can be asked for.
+TASK_BYTES, MOST_TASKS = 8 << 20, (1 << 31) - 1
+
+
+def tasks_for(df: DataFrame, times: int = 1) -> int:
+    """``times`` a task for each ``TASK_BYTES`` of ``df`` by Spark's estimate, one a core at least.
+
+    For ``coalesce``, which never raises a number: where the session asks for many more
+    partitions than the rows fill, each would be a file, and an executor starts
+    processes (``chmod``) for every file that it writes to a local disk.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(df.sparkSession.sparkContext.defaultParallelism, times * -(-size // TASK_BYTES)), MOST_TASKS)
+
+
 #: A join sends at most so many hot keys to every task.
 HOT_KEYS = 10_000
 

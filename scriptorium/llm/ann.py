@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import materialize
+from ._util import materialize, tasks_for
 
 #: Trees, and bits of a hash string.
 TREES, BITS = 300, 24
@@ -160,7 +160,7 @@ def nearest(
     components take no part; a query among them has no rows.
     """
     keep = top + 1  # the query itself may be among them
-    base = materialize(distinct_vectors(embeddings, keep), "vectors")
+    base = materialize(distinct_vectors(embeddings, keep), "vectors", tasks_for(embeddings))
     base = base.withColumn("dim", F.size("vec"))
     # blocks and groups are counted for each length of vectors
     large = [(r["dim"], r["n"]) for r in base.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min(block, group)).collect()]
@@ -214,9 +214,11 @@ def nearest(
     lists = best.groupBy("qkey").agg(F.array_sort(F.collect_list(F.struct("rn", "vec_id", "score"))).alias("near"))
     own = queries.withColumnRenamed("key", "qkey").join(lists, "qkey")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, top)
-    return own.select("query_id", F.posexplode(others).alias("pos", "x")).select(
+    answers = own.select("query_id", F.posexplode(others).alias("pos", "x")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score")
     )
+    # every block answers every query, so the lists that meet here grow with the blocks
+    return answers.coalesce(tasks_for(embeddings, 1 + sum(n // block for _, n in large)))
 
 
 def op10_nearest(spark, sf_dir: str) -> DataFrame:
