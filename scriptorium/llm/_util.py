@@ -63,6 +63,19 @@ def materialize(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def return_heap(spark: SparkSession) -> None:
+    """Executors collect their garbage, so that the heap that finished work filled goes
+    back to the system before other work (Python workers, say) needs the memory.
+
+    A JVM keeps a heap that it once grew until a full collection, which may never come.
+    A short task a core asks for one; those that an executor runs at once share it.  It
+    has no bearing on results; a JVM told to ignore such requests keeps its heap.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    asked = spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("asked"))
+    asked.write.format("noop").mode("overwrite").save()
+
+
 #: Bytes of input for each task that writes rows of about that size, and the most tasks that Spark can be asked for.
 TASK_BYTES, MOST_TASKS = 8 << 20, (1 << 31) - 1
 

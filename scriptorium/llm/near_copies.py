@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components, with_least
-from ._util import hot_join, keep_named, mapped, materialize, maybe_in, text_key, worker_state
+from ._util import hot_join, keep_named, mapped, materialize, maybe_in, return_heap, text_key, worker_state
 from .simhash import bits_of, lanes_of_bytes, near_links
 
 SHINGLE_WORDS, SIMILAR, SEED = 5, 0.8, 42
@@ -203,6 +203,7 @@ def similar_groups(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
         both = close.join(texts.withColumnRenamed("text", "x"), "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("y")), "rep")
         found = materialize(mapped(both.select(F.col("node").alias("a"), F.col("rep").alias("b"), "x", "y"), _similar_batches, "a long, b long"), "links")
         links = found if links is None else links.unionByName(found)
+        return_heap(docs.sparkSession)  # texts were shuffled and sorted
         return links
 
     def open_buckets() -> DataFrame:
